@@ -101,7 +101,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokens.load(tokenizer_path, whole)
         for batch in batches:
-            tok.prime(batch["_text"].tolist())
             rows = []
             for doc, grp, ids in zip(batch["_id"], batch["_grp"], tok.encode(batch["_text"].tolist(), end_id), strict=True):
                 ids = np.frombuffer(ids, tok.dtype).astype("<u4")

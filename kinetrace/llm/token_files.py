@@ -135,7 +135,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         tok = tokens.load(tokenizer_path, whole)
         for batch in batches:
             texts = batch["_text"].tolist()
-            tok.prime(texts)
             ids = tok.encode(texts, end_id)
             yield pd.DataFrame({"_id": batch["_id"], "_n": [len(x) // tok.dtype.itemsize for x in ids], "_ids": ids})
 

@@ -6,8 +6,10 @@ import os
 
 import numpy as np
 
-#: Words that one Python worker keeps; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Words that one Python worker remembers, and as many again that it has not met since; code points that are encoded at once.
+CACHE_WORDS, RUN = 1_000_000, 8_000_000
+#: What may follow a word without being merged with it; the mark that is put between words; words between marks in one call.
+CLOSING, MARK, JOINED = ".,*%&$#!?|;:)", "~", 24
 
 _loaded: dict[str, "WordTokenizer"] = {}
 
@@ -19,10 +21,10 @@ def default_path() -> str:
 
 
 class WordTokenizer:
-    """Encodes texts with the tokenizers library, each distinct space-separated word once.
+    """Encodes texts with the tokenizers library, each distinct space-separated word once while it is remembered.
 
-    Exact for tokenizers that drop white space and split words before merging, as ``word_bpe_49k.json`` does: no
-    token, normalisation or special string then reaches across a space, so the ids of a text are those of its words in order.
+    Exact for tokenizers that drop white space, lower-case, and split letters, digits and other marks before merging, as ``word_bpe_49k.json``
+    does: no token, normalisation or special string then reaches across a space, so the ids of a text are those of its words in order.
     ``whole=True`` passes whole texts to the library, for any other tokenizer.
     """
 
@@ -33,39 +35,67 @@ class WordTokenizer:
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
+        found = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = found[0] if len(found) == 1 else None
+        self.recent: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """As ``_encode``, several words a call of the library: a mark with an id of its own stands between them."""
+        if self.mark is None or any(MARK in w for w in words):
+            return self._encode(words)
+        groups, out = [words[k : k + JOINED] for k in range(0, len(words), JOINED)], []
+        for found in self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False):
+            ids = np.array(found.ids, self.dtype)
+            packed, low = ids.tobytes(), 0
+            for at in (np.flatnonzero(ids == self.mark) * self.dtype.itemsize).tolist():
+                out.append(packed[low:at])
+                low = at + self.dtype.itemsize
+            out.append(packed[low:])
+        return out
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        """Have all words of these texts in ``recent``."""
+        if len(self.recent) > CACHE_WORDS:
+            self.recent, self.former = {}, self.recent
+        missing = set().union(*texts).difference(self.recent)
+        known = missing.intersection(self.former)
+        self.recent.update((w, self.former[w]) for w in known)
+        # closing marks are split from the letters and digits before them, and ASCII letters lower-cased, before any merging
+        parts, wanted = [], set()
+        for word in missing - known:
+            core = word.rstrip(CLOSING)
+            tail = word[len(core) :] if core and core[-1].isalnum() else ""
+            core = core if tail else word
+            core = core.lower() if core.isascii() and core.isalnum() else core
+            parts.append((word, core, tail))
+            wanted.update((core, tail))
+        new = [w for w in wanted.difference(self.recent) if w]
+        for k in range(0, len(new), 5000):
+            self.recent.update(zip(new[k : k + 5000], self._encode_words(new[k : k + 5000]), strict=True))
+        own = self.recent
+        own[""] = b""
+        for word, core, tail in parts:
+            own[word] = own[core] + own[tail]
+
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """The ids of each text as packed little-endian integers of ``dtype``, with ``end`` behind them."""
         tail = b"" if end is None else np.array([end], self.dtype).tobytes()
         if self.whole:
             return [x + tail for x in self._encode(texts)]
-        out = []
-        for text in texts:
-            words = text.split(" ")
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, words)) + tail)
-            except KeyError:
-                missing = list({w for w in words if w not in self.cache})
-                if len(self.cache) + len(missing) > CACHE_WORDS:
-                    self.cache.clear()
-                    missing = list(set(words))
-                self.cache.update(zip(missing, self._encode(missing), strict=True))
-                out.append(b"".join(map(self.cache.__getitem__, words)) + tail)
+        out, k = [], 0
+        while k < len(texts):
+            words, n = [], 0
+            while k < len(texts) and n < RUN:
+                words.append(texts[k].split(" "))
+                n, k = n + len(texts[k]), k + 1
+            self._learn(words)
+            out += [b"".join(map(self.recent.__getitem__, w)) + tail for w in words]
         return out
 
-    def prime(self, texts: list[str]) -> None:
-        """Encode the words of many texts that are not known yet in one call."""
-        if not self.whole:
-            missing = list({w for t in texts for w in t.split(" ")} - self.cache.keys())
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                self.cache.clear()
-            for k in range(0, len(missing), 20_000):
-                self.cache.update(zip(missing[k : k + 20_000], self._encode(missing[k : k + 20_000]), strict=True))
-
 
 def load(path: str, whole: bool = False) -> WordTokenizer:
     key = f"{path}:{whole}"
