@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.components import components
 from kinetrace.llm.words import chunks, mix, shingle_sets
-from kinetrace.llm.workspace import materialise
+from kinetrace.llm.workspace import materialise, row_count
 from kinetrace.session import table
 
 #: 32 bands of 5 values from 80 permutations: a pair at 0.85 misses all bands with probability 7e-9, one at 0.8 with 3e-6.
@@ -27,6 +27,8 @@ BANDS, ROWS = 32, 5
 CLUSTER_PERCENT = 50
 #: Documents of each side of a block of exact comparisons.
 BLOCK = 512
+#: Ids (8 bytes each) that are sent to all executors to pick texts; with more, the texts are shuffled to the ids.
+SENT_IDS = 4_000_000
 
 
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +98,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sets = shingle_sets(raws, width)
                 yield pd.DataFrame({"rid": ids[first : first + len(sets)], "digest": [_digest(s) for s in sets], "members": [s.tobytes() for s in sets]})
 
-    texts = rows_in.join(involved, rows_in["_id"] == involved["rid"]).select("rid", "_text")
+    involved = materialise(involved, "minhash-involved")
+    picked = F.broadcast(involved) if row_count(involved) <= SENT_IDS else involved
+    texts = rows_in.join(picked, rows_in["_id"] == picked["rid"]).select("rid", "_text")
     sets = texts.mapInPandas(gather, "rid long, digest binary, members binary")
     sets = materialise(sets.join(reps.select("rid", "digest"), ["rid", "digest"]).dropDuplicates(["rid"]).select("rid", "members"), "minhash-sets")
 
