@@ -40,14 +40,13 @@ def _key(line: Column, length: Column, shorter: int, i: int, shift: int, parts:
     return F.xxhash64(length - shorter, F.lit(i), F.substring(line, start + shift, size))
 
 
-def index_keys(line: Column, edits: int) -> Column:
-    n = F.length(line)
+def index_keys(line: Column, n: Column, edits: int) -> Column:
     return F.array(*[_key(line, n, 0, i, 0, edits + 1) for i in range(edits + 1)])
 
 
-def probe_keys(line: Column, edits: int) -> Column:
+def probe_keys(line: Column, n: Column, edits: int) -> Column:
     """Keys of the other places where a segment of a line that is ``shorter`` characters shorter, or as long, can lie."""
-    n, keys = F.length(line), []
+    keys = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
@@ -56,9 +55,14 @@ def probe_keys(line: Column, edits: int) -> Column:
     return F.array(*keys)
 
 
-def line_code(line: Column) -> Column:
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed a single time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def line_code(line: Column, n: Column) -> Column:
     """64 bits for a line: half a hash, half letter counts."""
-    counts = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15)), 4 * k) for k, c in enumerate(COUNTED)])
+    counts = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15)), 4 * k) for k, c in enumerate(COUNTED)])
     return F.shiftleft(F.xxhash64(line), 32).bitwiseOR(counts)
 
 
@@ -78,40 +82,54 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     """
     width = 2 * edits + 3
     full, top = (1 << width) - 1, 1 << (width - 1)
-    pattern, text = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
     inv = lambda x: x.bitwiseXOR(F.lit(full).cast("long"))
     lit = lambda x: F.lit(x).cast("long")
 
-    # the state is shared by several expressions, so each step binds its parts once by passing through one-element arrays
-    def bind(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
+    # parts that several expressions share are bound by passing through one-element arrays, so that each is computed once
+    def measure(s: Column) -> Column:
+        pattern, text, m, n = s["p"], s["t"], s["m"], s["n"]
+
+        def step(state: Column, j: Column) -> Column:
+            char = F.get(text, j)
+            match = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.get(pattern, j + (k - (width - 1 - edits))) == char, lit(1 << k)).otherwise(lit(0)) for k in range(width)])
+
+            def diagonal(pm: Column) -> Column:
+                vp, vn = state["vp"], state["vn"]
+                return _once(((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(lit(full)), horizontal)
+
+            def horizontal(d0: Column) -> Column:
+                vp, vn = state["vp"], state["vn"]
+                return _once(F.struct(d0.alias("d0"), vn.bitwiseOR(inv(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn")), vertical)
+
+            def vertical(h: Column) -> Column:
+                d0, hp, hn = h["d0"], h["hp"], h["hn"]
+                x = F.shiftrightunsigned(d0, 1)
+                late = j - (m - edits)
+                mask = F.call_function("shiftrightunsigned", lit(top >> 1), F.greatest(late, F.lit(0)))
+                up = F.when(late < 0, F.when(d0.bitwiseAND(lit(top)) == 0, 1).otherwise(0)).otherwise(F.when(hp.bitwiseAND(mask) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(mask) != 0, 1).otherwise(0))
+                return F.struct(hn.bitwiseOR(inv(x.bitwiseOR(hp))).alias("vp"), x.bitwiseAND(hp).alias("vn"), (state["d"] + up).alias("d"))
+
+            return _once(match, diagonal)
+
+        first = F.struct(lit(full - ((1 << (width - 1 - edits)) - 1)).alias("vp"), lit(0).alias("vn"), F.lit(edits).alias("d"))
+        distance = F.aggregate(F.sequence(F.lit(0), n - 1), first, step, lambda s: s["d"])
+        return F.when(F.abs(m - n) > edits, F.lit(False)).otherwise(distance <= edits)
 
-    def step(state: Column, j: Column) -> Column:
-        char = F.get(text, j)
-        match = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.get(pattern, j + (k - (width - 1 - edits))) == char, lit(1 << k)).otherwise(lit(0)) for k in range(width)])
+    return _once(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t"), F.length(a).alias("m"), F.length(b).alias("n")), measure)
 
-        def diagonal(pm: Column) -> Column:
-            vp, vn = state["vp"], state["vn"]
-            d0 = ((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(lit(full))
-            return bind(d0, horizontal)
 
-        def horizontal(d0: Column) -> Column:
-            vp, vn = state["vp"], state["vn"]
-            hp = vn.bitwiseOR(inv(d0.bitwiseOR(vp)))
-            hn = d0.bitwiseAND(vp)
-            x = F.shiftrightunsigned(d0, 1)
-            late = j - (m - edits)
-            mask = F.expr("0L")
-            mask = F.when(late < 0, lit(0)).otherwise(reduce(lambda acc, k: F.when(late == k, lit((top >> 1) >> k)).otherwise(acc), range(2 * edits + 1), mask))
-            up = F.when(late < 0, F.when(d0.bitwiseAND(lit(top)) == 0, 1).otherwise(0)).otherwise(F.when(hp.bitwiseAND(mask) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(mask) != 0, 1).otherwise(0))
-            return F.struct(hn.bitwiseOR(inv(x.bitwiseOR(hp))).alias("vp"), x.bitwiseAND(hp).alias("vn"), (state["d"] + up).alias("d"))
+def within_edits_trimmed(a: Column, b: Column, edits: int, block: int = 32) -> Column:
+    """As :func:`within_edits`, after equal blocks at the start and then at the end of both strings are cut off, which changes no distance."""
 
-        return bind(match, diagonal)
+    def cut(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        # whole blocks of the shorter string, but for what must be left of it
+        most = F.greatest(F.lit(0), F.floor((F.least(F.length(x), F.length(y)) - 2 * edits - 2) / F.lit(block)).cast("int"))
+        differ = F.transform(F.sequence(F.lit(0), most), lambda k: (k == most) | (F.substring(x, k * block + 1, F.lit(block)) != F.substring(y, k * block + 1, F.lit(block))))
+        rest = lambda s, at: F.reverse(F.substring(s, at, F.length(s)))
+        return _once(((F.array_position(differ, True) - 1) * block + 1).cast("int"), lambda at: F.struct(rest(x, at).alias("x"), rest(y, at).alias("y")))
 
-    first = F.struct(lit(full - ((1 << (width - 1 - edits)) - 1)).alias("vp"), lit(0).alias("vn"), F.lit(edits).alias("d"))
-    distance = F.aggregate(F.sequence(F.lit(0), n - 1), first, step, lambda s: s["d"])
-    return (F.abs(m - n) <= edits) & (distance <= edits)
+    return _once(_once(_once(F.struct(a.alias("x"), b.alias("y")), cut), cut), lambda q: within_edits(q["x"], q["y"], edits))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,21 +149,28 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = seen.groupBy("_h", "_g").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h", "_g", "_first")
     equal = materialise(seen.join(first, ["_h", "_g"]).filter(place != F.col("_first")).select("_d", "_t", "_p").distinct(), "equal-lines")
 
-    own = _without(lines, equal)
-    coded = own.select(line_code(F.col("_line")).alias("_code"), "_line")
-    index = coded.select("_code", F.explode(index_keys(F.col("_line"), edits)).alias("_key")).repartition("_key")
-    probe = coded.select(F.col("_code").alias("_code2"), F.explode(probe_keys(F.col("_line"), edits)).alias("_key")).repartition("_key")
-    near = _counts_near(F.col("_code"), F.col("_code2"), edits)
-    shifted = index.alias("i").join(probe.alias("p"), (F.col("i._key") == F.col("p._key")) & near & (F.col("_code") != F.col("_code2"))).select("_code", "_code2")
-    again = index.withColumnRenamed("_code", "_code2")
-    aligned = index.alias("i").join(again.alias("p"), (F.col("i._key") == F.col("p._key")) & near & (F.col("_code") < F.col("_code2"))).select("_code", "_code2")
-    pairs = materialise(shifted.union(aligned).select(F.least("_code", "_code2").alias("_a"), F.greatest("_code", "_code2").alias("_b")).distinct(), "line-pairs")
+    own = _without(lines, equal).withColumn("_n", F.length("_line"))
+    keyed = own.select("_d", "_t", "_p", line_code(F.col("_line"), F.col("_n")).alias("_code"), index_keys(F.col("_line"), F.col("_n"), edits).alias("_index"), probe_keys(F.col("_line"), F.col("_n"), edits).alias("_probe"))
+    keyed = materialise(keyed, "line-keys")
+    index = keyed.select("_code", F.explode("_index").alias("_key"))
+    probe = keyed.select(F.col("_code").alias("_code2"), F.explode(F.concat("_index", "_probe")).alias("_key"))
+    met = index.join(probe, "_key").filter((F.col("_code") != F.col("_code2")) & _counts_near(F.col("_code"), F.col("_code2"), edits))
+    pairs = materialise(met.select(F.least("_code", "_code2").alias("_a"), F.greatest("_code", "_code2").alias("_b")).distinct(), "line-pairs")
     codes = materialise(pairs.select(F.col("_a").alias("_code")).union(pairs.select("_b")).distinct(), "line-codes")
 
-    texts = materialise(own.withColumn("_code", line_code(F.col("_line"))).join(_sent(codes), "_code").select("_code", place.alias("_place"), "_line"), "line-texts")
+    # the texts of lines that are in a pair, by their places
+    wanted = materialise(keyed.join(_sent(codes), "_code").select("_code", "_d", "_t", "_p"), "line-places")
+    held = wanted.groupBy("_d", "_t").agg(F.collect_list(F.struct("_p", "_code")).alias("_at"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_d"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
+    split = rows.join(_sent(held), ["_d", "_t"]).select("_d", "_t", "_at", F.split("_text", "\n").alias("_lines"))
+    texts = split.select("_d", "_t", F.explode(F.transform("_at", lambda x: F.struct(x["_p"].alias("_p"), x["_code"].alias("_code"), F.get("_lines", x["_p"]).alias("_line")))).alias("_x"))
+    texts = materialise(texts.select(F.col("_x._code").alias("_code"), F.struct("_d", "_t", F.col("_x._p").alias("_p")).alias("_place"), F.col("_x._line").alias("_line")).distinct(), "line-texts")
     side = lambda c, s: texts.select(F.col("_code").alias(c), F.col("_place").alias(f"_place{s}"), F.col("_line").alias(f"_line{s}"))
-    met = pairs.join(side("_a", 1), "_a").join(side("_b", 2), "_b").filter(within_edits(F.col("_line1"), F.col("_line2"), edits))
-    links = materialise(met.select(F.least("_place1", "_place2").alias("earlier"), F.greatest("_place1", "_place2").alias("later")), "line-links")
+    paired = materialise(pairs.join(side("_a", 1), "_a").join(side("_b", 2), "_b").select("_place1", "_place2", "_line1", "_line2"), "line-candidates")
+    # verifying is heavy and its rows are few: they are dealt anew, some hundred to a task
+    dealt = paired.repartition(max(1, min(row_count(paired) // 200, 20_000)), F.xxhash64("_place1", "_place2"))
+    near = dealt.filter(within_edits_trimmed(F.col("_line1"), F.col("_line2"), edits))
+    links = materialise(near.select(F.least("_place1", "_place2").alias("earlier"), F.greatest("_place1", "_place2").alias("later")), "line-links")
     return equal.union(links.select("later._d", "later._t", "later._p")).distinct(), links
 
 
