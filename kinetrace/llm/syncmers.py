@@ -2,13 +2,16 @@
 
 A closed syncmer is a window of ``GRAM + SPAN - 1`` characters whose smallest inner substring of ``GRAM`` characters, by hash, is the first or the
 last. Whether a window is one depends on nothing outside it, so the same passage gives the same anchors wherever it stands. A fingerprint holds
-the ``ANCHORS`` distinct anchors with the smallest hashes, each with its first position, so that two fingerprints are matched by position.
+the ``ANCHORS`` distinct anchors with the smallest values, each with its first position, so that two fingerprints are matched by position.
 
-An anchor is one 64-bit integer: 39 bits of hash above 24 bits of position (a later position counts as the last that fits).
+An anchor is one 64-bit integer: 19 bits of its smallest inner hash, 20 bits of a hash of the whole window, and 24 bits of position (a later position
+counts as the last that fits). As its order is that of the smallest inner hash, only the neighbourhoods of small inner hashes need be looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,10 +23,13 @@ from kinetrace.session import table
 GRAM, SPAN, ANCHORS = 6, 6, 64
 #: Characters that are looked at together, and the shift between two matches that still counts as the same.
 PIECE, SLACK = 8192, 32
+#: Inner hashes that are looked at first, as a multiple of ``ANCHORS``; all of them are if these give too few anchors.
+TRIED = 4
 #: Documents are dealt by id into ``COARSE`` ranges and each of these into parts of at most about ``PART_ROWS``, ``MOST_PARTS`` at most.
 COARSE, PART_ROWS, MOST_PARTS = 1000, 100_000, 1000
 
-POSITION_BITS = 24
+POSITION_BITS, ORDER_BITS, SELF_BITS = 24, 19, 20
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 WINDOW = GRAM + SPAN - 1
 PAD = "\x00" * (WINDOW - 1)
 
@@ -51,36 +57,49 @@ def lowest(anchors: Column, most: int = ANCHORS) -> Column:
     return F.slice(_once(F.sort_array(anchors), first), 1, most)
 
 
-def _piece_anchors(text: Column, base: Column) -> Column:
-    """All closed syncmers of a short text whose first character has position ``base``."""
+def _piece_anchors(text: Column, base: Column, limit: Column) -> Column:
+    """Closed syncmers with a smallest inner hash up to ``limit`` of a short text whose first character has position ``base``."""
     grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))
 
     def select(hashes: Column) -> Column:
-        def edge(x: Column, i: Column) -> Column:
-            return F.least(x, F.get(hashes, i + (SPAN - 1))) <= F.least(*[F.get(hashes, i + k) for k in range(1, SPAN - 1)])
+        def around(i: Column) -> Column:
+            return _once(F.get(hashes, i), lambda x: F.array(window(x, i, 1), window(x, i, -1)))
 
-        def anchor(x: Column, i: Column) -> Column:
-            last = F.get(hashes, i + (SPAN - 1))
-            place = F.least(base + i, _long((1 << POSITION_BITS) - 1))
-            keep = (i < F.size(hashes) - (SPAN - 1)) & edge(x, i)
-            return F.when(keep, F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, last), 25), POSITION_BITS).bitwiseOR(place))
+        def window(x: Column, i: Column, way: int) -> Column:
+            """The window that starts (1) or ends (-1) with the inner substring ``i``, if that is its smallest; null beyond either end."""
+            smallest = reduce(lambda a, b: a & b, [x <= F.get(hashes, i + way * k) for k in range(1, SPAN)])
+            other = F.get(hashes, i + way * (SPAN - 1))
+            own = F.shiftrightunsigned(F.xxhash64(x, other) if way > 0 else F.xxhash64(other, x), 64 - SELF_BITS)
+            value = F.shiftleft(F.shiftrightunsigned(x.bitwiseXOR(_long(LEAST)), 64 - ORDER_BITS), SELF_BITS).bitwiseOR(own)
+            place = F.least(base + (i if way > 0 else i - (SPAN - 1)), _long((1 << POSITION_BITS) - 1))
+            return F.when(smallest, F.shiftleft(value, POSITION_BITS).bitwiseOR(place))
 
-        return F.filter(F.transform(hashes, anchor), lambda a: a.isNotNull())
+        small = F.array_compact(F.transform(hashes, lambda x, i: F.when(x <= limit, i)))
+        return F.array_compact(F.flatten(F.transform(small, around)))
 
     return _once(F.transform(grams, lambda g: F.xxhash64(g)), select)
 
 
 def anchors_of(text: Column, base: Column) -> Column:
     """The lowest anchors of a text of any length, taken in overlapping pieces."""
-    starts = F.sequence(_long(0), F.greatest(_long(0), F.floor((F.length(text) - WINDOW) / F.lit(PIECE)).cast("long")))
-    piece = lambda k: lowest(_piece_anchors(F.substring(text, (k * PIECE + 1).cast("int"), F.lit(PIECE + WINDOW - 1)), base + k * PIECE))
-    return lowest(F.flatten(F.transform(starts, piece)))
+    n = F.length(text)
+    starts = F.sequence(_long(0), F.greatest(_long(0), F.floor((n - WINDOW) / F.lit(PIECE)).cast("long")))
+    half = 1 << (ORDER_BITS - 1)
+    slots = F.ceil(F.lit(float(2 * half * TRIED * ANCHORS)) / F.greatest(n, F.lit(1))).cast("long")
+    bound = F.when(slots >= 2 * half, _long(MOST)).otherwise(F.shiftleft(slots - half, 64 - ORDER_BITS) - 1)
+
+    def within(limit: Column) -> Column:
+        piece = lambda k: lowest(_piece_anchors(F.substring(text, (k * PIECE + 1).cast("int"), F.lit(PIECE + WINDOW - 1)), base + k * PIECE, limit))
+        return lowest(F.flatten(F.transform(starts, piece)))
+
+    few = lambda held: (F.size(held) < ANCHORS) & (slots < 2 * half)
+    return _once(_once(bound, within), lambda held: F.when(few(held), within(_long(MOST))).otherwise(held))
 
 
 def _with_fallback(anchors: Column, text: Column) -> Column:
     """A text without any anchor is its own; an empty text has none."""
     whole = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 25), POSITION_BITS)
-    return F.when((F.size(anchors) == 0) & (F.length(text) > 0), F.array(whole)).otherwise(anchors)
+    return _once(anchors, lambda held: F.when((F.size(held) == 0) & (F.length(text) > 0), F.array(whole)).otherwise(held))
 
 
 def text_of_fingerprint(anchors: Column) -> Column:
@@ -93,22 +112,24 @@ def likeness(a: Column, b: Column, most: int = ANCHORS) -> Column:
     The shared ones among the ``most`` lowest anchors of both estimate the resemblance. A shared anchor counts if another one is shifted as far, or if
     there is just one.
     """
-    ha, hb = F.transform(a, anchor_hash), F.transform(b, anchor_hash)
+    hashes = F.struct(F.transform(a, anchor_hash).alias("a"), F.transform(b, anchor_hash).alias("b"))
+
+    def meet(h: Column) -> Column:
+        union = F.slice(F.array_sort(F.array_union(h["a"], h["b"])), 1, most)
+        return _once(union, lambda u: _once(F.struct(u.alias("u"), F.array_intersect(F.array_intersect(h["a"], h["b"]), u).alias("shared")), compare))
 
-    def compare(union: Column) -> Column:
-        shared = F.array_intersect(F.array_intersect(ha, hb), union)
-        at = lambda anchors: F.filter(anchors, lambda x: F.array_contains(shared, anchor_hash(x)))
+    def compare(m: Column) -> Column:
+        at = lambda anchors: F.filter(anchors, lambda x: F.array_contains(m["shared"], anchor_hash(x)))
         shifts = F.sort_array(F.zip_with(at(a), at(b), lambda x, y: anchor_position(y) - anchor_position(x)))
 
         def in_place(s: Column) -> Column:
             near = lambda x, y: F.coalesce(F.abs(x - y) <= SLACK, F.lit(False))
-            held = F.filter(s, lambda x, i: (F.size(s) == 1) | near(x, F.get(s, i + 1)) | (i > 0) & near(x, F.get(s, F.greatest(i - 1, F.lit(0)))))
-            return F.size(held)
+            return F.size(F.filter(s, lambda x, i: (F.size(s) == 1) | near(x, F.get(s, i + 1)) | (i > 0) & near(x, F.get(s, F.greatest(i - 1, F.lit(0))))))
 
-        j = _once(shifts, in_place) / F.size(union)
-        return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(2 * j / (1 + j))
+        share = lambda j: F.when(F.size(m["u"]) == 0, F.lit(1.0)).otherwise(2 * j / (1 + j))
+        return _once(_once(shifts, in_place) / F.greatest(F.size(m["u"]), F.lit(1)), share)
 
-    return _once(F.slice(F.array_sort(F.array_union(ha, hb)), 1, most), compare)
+    return _once(hashes, meet)
 
 
 def _ranges(docs: DataFrame) -> tuple[DataFrame, Column]:
