@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from kinetrace.plans import frames, language, telemetry
+
+MODULES = (telemetry, frames, language)
 
 
 def queries() -> dict:
