@@ -70,7 +70,7 @@ def resample(rows: DataFrame, by: list[str], order: list[str], t: str, hold: lis
     # half to even, at least one step
     steps = F.greatest(F.lit(1).cast("long"), F.bround(duration * F.lit(float(rate)), 0).cast("long"))
     seg = seg.withColumn("_steps", F.when(duration > 0, steps).otherwise(F.lit(0).cast("long"))).filter(F.col("_steps") + 1 <= most_frames)
-    at = lambda i: F.col("_start") + i * duration / F.greatest(F.col("_steps"), F.lit(1))
+    at = lambda i: F.col("_start") + i * (duration / F.greatest(F.col("_steps"), F.lit(1)))
     guess = lambda x: F.floor((x - F.col("_start")) / duration * F.col("_steps")).cast("long")
     # candidates around the segment's bounds are filtered by the grid times themselves, so rounding cannot lose or repeat one
     low = F.greatest(F.lit(0).cast("long"), guess(F.col(t)) - 1)

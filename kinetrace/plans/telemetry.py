@@ -252,7 +252,7 @@ round(max(s) - min(s), 3) AS duration_s, false AS runs_back, count(*) = 1 OR max
     "keep_last_of_equal": f"WITH {E}, {HOUR} SELECT max(event_id) AS event_id, user_id, us FROM hours GROUP BY user_id, us",
     "resample_grid": f"""WITH {E}, s AS (SELECT user_id, us, value, lead(us) {W} AS nt, lead(value) {W} AS nv FROM e),
 b AS (SELECT user_id, min(us) AS t0, max(us) AS t1 FROM e GROUP BY 1), n AS (SELECT *, CASE WHEN t1 > t0 THEN greatest(1, round_even((t1 - t0) / 3600000000, 0)::BIGINT) ELSE 0 END AS steps FROM b),
-g AS (SELECT user_id, i AS step, CASE WHEN i = steps THEN t1::DOUBLE ELSE t0 + i * (t1 - t0) / greatest(steps, 1) END AS gt FROM (SELECT *, unnest(generate_series(0, steps)) AS i FROM n))
+g AS (SELECT user_id, i AS step, CASE WHEN i = steps THEN t1::DOUBLE ELSE t0 + i * ((t1 - t0) / greatest(steps, 1)) END AS gt FROM (SELECT *, unnest(generate_series(0, steps)) AS i FROM n))
 SELECT g.user_id, step, round(value, 6) AS held, round(CASE WHEN nt IS NULL OR gt = us THEN value ELSE value + (nv - value) * ((gt - us) / (nt - us)) END, 4) AS value FROM g ASOF JOIN s ON g.user_id = s.user_id AND g.gt >= s.us""",
     "last_n_events": f"WITH {E} SELECT event_id, user_id, us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS r FROM e) WHERE r <= 3",
     "latest_by_key": f"WITH {E} SELECT user_id, event_type, arg_max(event_id, (us, event_id)) AS event_id, arg_max(value, (us, event_id)) AS value FROM e GROUP BY 1, 2",
