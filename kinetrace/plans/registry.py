@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetrace.plans import frames, language, telemetry
+from kinetrace.plans import frames, language, rules, telemetry
 
-MODULES = (telemetry, frames, language)
+MODULES = (telemetry, frames, language, rules)
 
 
 def queries() -> dict:
