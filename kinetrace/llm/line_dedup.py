@@ -152,9 +152,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = _without(lines, equal).withColumn("_n", F.length("_line"))
     keyed = own.select("_d", "_t", "_p", line_code(F.col("_line"), F.col("_n")).alias("_code"), index_keys(F.col("_line"), F.col("_n"), edits).alias("_index"), probe_keys(F.col("_line"), F.col("_n"), edits).alias("_probe"))
     keyed = materialise(keyed, "line-keys")
-    index = keyed.select("_code", F.explode("_index").alias("_key"))
-    probe = keyed.select(F.col("_code").alias("_code2"), F.explode(F.concat("_index", "_probe")).alias("_key"))
-    met = index.join(probe, "_key").filter((F.col("_code") != F.col("_code2")) & _counts_near(F.col("_code"), F.col("_code2"), edits))
+    index = keyed.select("_code", "_index", F.posexplode("_index").alias("_at", "_key")).select("_code", "_key", F.slice("_index", F.lit(1), F.col("_at")).alias("_before"))
+    probe = keyed.select(F.col("_code").alias("_code2"), "_index", F.posexplode(F.concat("_index", "_probe")).alias("_at", "_key"))
+    none = F.array().cast("array<long>")
+    probe = probe.select("_code2", "_key", "_at", F.when(F.col("_at") <= edits, F.slice("_index", F.lit(1), F.col("_at"))).otherwise(none).alias("_before2"))
+    # two lines that meet under their own segments would meet again the other way round, and under each later segment that they share
+    once = F.when(F.col("_at") <= edits, F.col("_code") < F.col("_code2")).otherwise(F.col("_code") != F.col("_code2"))
+    met = index.join(probe, "_key").filter(once & _counts_near(F.col("_code"), F.col("_code2"), edits) & ~F.arrays_overlap("_before", "_before2"))
     pairs = materialise(met.select(F.least("_code", "_code2").alias("_a"), F.greatest("_code", "_code2").alias("_b")).distinct(), "line-pairs")
     codes = materialise(pairs.select(F.col("_a").alias("_code")).union(pairs.select("_b")).distinct(), "line-codes")
 
