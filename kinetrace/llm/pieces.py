@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetrace.llm.words import mix
+from kinetrace.llm.workspace import cached, working_on
 from kinetrace.session import table
 
 SPACE = "▁"
 WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Words that a Python worker remembers, code points that are sampled together, extra cost (in nats) of a byte piece.
-CACHE_WORDS, RUN, BYTE_COST = 150_000, 1_000_000, 12.0
+CACHE_WORDS, RUN, BYTE_COST = 100_000, 400_000, 12.0
 #: Piece of rank r has weight -ln(r + RANK_OFFSET) - ln(H), where H makes these weights a distribution.
 RANK_OFFSET = 20.0
 #: Exponent of the weights: over 1 favours likely segmentations, 0 makes all alike.
@@ -259,11 +260,21 @@ class PieceSampler:
 
 
 def load(path: str, sharpness: float = SHARPNESS) -> PieceSampler:
+    working_on("pieces")
     if (path, sharpness) not in _loaded:
         _loaded[path, sharpness] = PieceSampler(path, sharpness)
     return _loaded[path, sharpness]
 
 
+cached(_loaded.clear)
+
+
+def row_keys(column: pd.Series, seed: int) -> np.ndarray:
+    """64 bits for each key's text, whatever type a batch holds it in; a null is a key of its own."""
+    named = ("" if k is None or k != k else str(int(k)) if isinstance(k, float) else str(k) for k in column.tolist())
+    return np.array([xxhash.xxh3_64_intdigest(k.encode(), seed=seed) for k in named], np.uint64)
+
+
 def encode_pieces(docs: DataFrame, model_path: str, key_col: str = "doc_id", text_col: str = "text", seed: int = 0, sharpness: float = SHARPNESS) -> DataFrame:
     """``key_col, text_col`` and ``pieces``: little-endian 16-bit ids (32-bit for more than 65536 pieces) of a sampled segmentation.
 
@@ -276,9 +287,7 @@ def encode_pieces(docs: DataFrame, model_path: str, key_col: str = "doc_id", tex
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = load(model_path, sharpness)
         for batch in batches:
-            named = ("" if k is None or k != k else str(int(k)) if isinstance(k, float) else str(k) for k in batch["_key"].tolist())
-            keys = np.array([xxhash.xxh3_64_intdigest(k.encode(), seed=seed) for k in named], np.uint64)
-            yield pd.DataFrame({"_key": batch["_key"], "_text": batch["_text"], "pieces": sampler.encode(batch["_text"].tolist(), keys)})
+            yield pd.DataFrame({"_key": batch["_key"], "_text": batch["_text"], "pieces": sampler.encode(batch["_text"].tolist(), row_keys(batch["_key"], seed))})
 
     out = rows.mapInPandas(encode, f"_key {kind}, _text string, pieces binary")
     return out.select(F.col("_key").alias(key_col), F.col("_text").alias(text_col), "pieces")
@@ -300,17 +309,30 @@ def decode_pieces(encoded: DataFrame, model_path: str, pieces_col: str = "pieces
     return rows.mapInPandas(decode, schema)
 
 
+def encode_and_verify(docs: DataFrame, model_path: str, key_col: str = "doc_id", text_col: str = "text", seed: int = 0, sharpness: float = SHARPNESS) -> DataFrame:
+    """``key_col, pieces, decoded, lossless``: as encoding and then decoding, in one pass with one Python worker, a run of texts at a time."""
+    rows = docs.select(F.col(key_col).alias("_key"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    kind = dict(rows.dtypes)["_key"]
+
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampler = load(model_path, sharpness)
+        for batch in batches:
+            texts, keys, a = batch["_text"].tolist(), row_keys(batch["_key"], seed), 0
+            while a < len(texts):
+                b, n = a, 0
+                while b < len(texts) and n < RUN:
+                    n, b = n + len(texts[b]), b + 1
+                packed = sampler.encode(texts[a:b], keys[a:b])
+                decoded = sampler.decode(packed)
+                yield pd.DataFrame({"_key": batch["_key"].iloc[a:b].to_numpy(), "pieces": packed, "decoded": decoded, "lossless": [x == y for x, y in zip(decoded, texts[a:b], strict=True)]})
+                a = b
+
+    return rows.mapInPandas(both, f"_key {kind}, pieces binary, decoded string, lossless boolean").withColumnRenamed("_key", key_col)
+
+
 def op8_sampled_pieces(spark, sf_dir: str) -> DataFrame:
-    path = default_path()
-    encoded = encode_pieces(table(spark, sf_dir, "documents"), path)
-    decoded = decode_pieces(encoded, path)
-    return decoded.select(
-        "doc_id",
-        (F.octet_length("pieces") / 2).cast("long").alias("n_pieces"),
-        F.crc32("pieces").alias("ids_crc32"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("lossless"),
-    )
+    done = encode_and_verify(table(spark, sf_dir, "documents"), default_path())
+    return done.select("doc_id", (F.octet_length("pieces") / 2).cast("long").alias("n_pieces"), F.crc32("pieces").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), "lossless")
 
 
 QUERIES = {"op8_sampled_pieces": op8_sampled_pieces}

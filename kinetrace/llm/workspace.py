@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,21 @@ def release(df: DataFrame) -> None:
 def row_count(df: DataFrame) -> int:
     """Rows of ``df``; over Parquet this reads footers only."""
     return df.count()
+
+
+_caches: list[Callable[[], None]] = []
+_working_on: list[str] = []
+
+
+def cached(forget: Callable[[], None]) -> None:
+    """Have ``forget`` called when this Python worker turns to another operator."""
+    _caches.append(forget)
+
+
+def working_on(operator: str) -> None:
+    """Called by an operator's tasks: Spark reuses Python workers, so what another operator remembers in this one is dropped."""
+    if _working_on[-1:] != [operator]:
+        _working_on[:] = [operator]
+        for forget in _caches:
+            forget()
+        gc.collect()

@@ -55,6 +55,8 @@ def test_round_trip_is_lossless_and_reproducible(spark):
         assert sorted((r.text for r in got)) == sorted(t or "" for _, t, *_ in rows)
         runs.append(sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.pieces)) for r in got))
     assert runs[0] == runs[1]
+    fused = pc.encode_and_verify(spark.createDataFrame(rows, DOCS).repartition(3), path).collect()
+    assert all(r.lossless for r in fused) and sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.pieces)) for r in fused) == runs[0]
     other = pc.encode_pieces(spark.createDataFrame(rows, DOCS), path, seed=1).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.pieces)) for r in other) != runs[0]
     library = sentencepiece.SentencePieceProcessor(model_file=path)
