@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from kinetrace.llm.workspace import working_on
 from kinetrace.session import table
 
 ORDER, BITS = 4, 16
 #: Labelled rows that are learned from, per language: a hashed sample. One in ``CALIBRATE`` of them calibrates and isn't counted.
 SAMPLE_ROWS, CALIBRATE = 2500, 5
 #: Code points that are encoded at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Allowed beyond the worst calibration text: bits per symbol, and bits per text, which matter for the shortest.
 SLACK_BITS, SLACK_TEXT = 0.25, 12.0
 UNKNOWN = "und"
@@ -206,6 +207,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModels |
     chosen = near.filter(F.col("_h") <= edges[F.col("_lang")]).withColumn("_cal", F.pmod(F.shiftrightunsigned("_h", 7), F.lit(CALIBRATE)) == 0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("language-id")
         for batch in batches:
             for lang, own in batch.groupby("_lang"):
                 for _, texts in _runs(own["_text"].tolist()):
@@ -250,6 +252,7 @@ def identify(docs: DataFrame, models: LanguageModels | None, text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("language-id")
         own = shared.value
         for batch in batches:
             texts, found = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()], []

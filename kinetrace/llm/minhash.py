@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.components import components
 from kinetrace.llm.words import chunks, mix, shingle_sets
-from kinetrace.llm.workspace import materialise, row_count
+from kinetrace.llm.workspace import materialise, row_count, working_on
 from kinetrace.session import table
 
 #: 32 bands of 5 values from 80 permutations: a pair at 0.85 misses all bands with probability 7e-9, one at 0.8 with 3e-6.
@@ -71,6 +71,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("minhash")
         for batch in batches:
             ids = batch["_id"].tolist()
             for first, raws in chunks(batch["_text"].tolist()):

@@ -6,6 +6,8 @@ import os
 
 import numpy as np
 
+from kinetrace.llm.workspace import cached, working_on
+
 #: Words that one Python worker remembers, and as many again that it has not met since; code points that are encoded at once.
 CACHE_WORDS, RUN = 1_000_000, 8_000_000
 #: What may follow a word without being merged with it; the mark that is put between words; words between marks in one call.
@@ -98,7 +100,11 @@ class WordTokenizer:
 
 
 def load(path: str, whole: bool = False) -> WordTokenizer:
+    working_on("tokens")
     key = f"{path}:{whole}"
     if key not in _loaded:
         _loaded[key] = WordTokenizer(path, whole)
     return _loaded[key]
+
+
+cached(_loaded.clear)
