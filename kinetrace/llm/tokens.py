@@ -9,7 +9,7 @@ import numpy as np
 from kinetrace.llm.workspace import cached, working_on
 
 #: Words that one Python worker remembers, and as many again that it has not met since; code points that are encoded at once.
-CACHE_WORDS, RUN = 1_000_000, 8_000_000
+CACHE_WORDS, RUN = 1_000_000, 2_000_000
 #: What may follow a word without being merged with it; the mark that is put between words; words between marks in one call.
 CLOSING, MARK, JOINED = ".,*%&$#!?|;:)", "~", 24
 
