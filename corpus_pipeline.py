@@ -37,12 +37,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. Of rows that repeat an id one stays."""
-    groups = materialise(minhash.near_duplicates(docs).select("doc_id", "kept"), "pipeline-near")
-    kept = materialise(groups.filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), "pipeline-kept")
-    joined = docs.join(_sent(kept), docs["doc_id"].eqNullSafe(kept["_kept"]))
-    once = joined.filter("_rows = 1").select(*docs.columns)
-    return once.unionByName(joined.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each group of near-duplicates: that with the smallest id; a null id loses to any other.
+
+    Groups are of rows, whatever ids they have: different texts with a null or the same id all stay. Of rows that repeat both id and text one stays.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id", (F.col("n_shingles") == 0).alias("_blank"))
+    # a blank text is linked with nothing, and only its own repetitions are one with it
+    blank = lambda c: F.when(F.col("_blank"), F.col(c)).alias(f"_{c}")
+    group = [F.when(~F.col("_blank"), F.col("component_id")).alias("_component"), blank("doc_id"), blank("text")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row"))
+    kept = materialise(rows.join(found, "_row").groupBy(*group).agg(first["_row"].alias("_row")).select("_row"), "pipeline-kept")
+    return rows.join(_sent(kept), "_row", "left_semi").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,13 @@ def test_no_rows_and_repeated_rows(spark, tmp_path):
         spark.createDataFrame(some, schema).write.parquet(str(tmp_path / str(k) / "documents.parquet"))
         got = corpus_pipeline.run(spark, str(tmp_path / str(k))).collect()
         assert sorted(p.doc_id for p in got if p.start == 0) == sorted({r[0] for r in some})
+
+
+def test_near_duplicates_of_rows_with_null_and_clashing_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    near = lambda k: text(k) + " end"
+    rows = [(None, text(0)), (None, text(1)), (None, near(1)), (None, text(2)), (5, near(2)), (7, text(3)), (7, text(4)), (7, text(4)), (8, near(4)), (9, text(5)), (6, near(5)), (3, ""), (3, ""), (None, " ")]
+    docs = spark.createDataFrame([(d, t, "aa", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    sure = [(None, text(0)), (5, near(2)), (7, text(3)), (7, text(4)), (6, near(5)), (3, ""), (None, " ")]
+    assert all(got.count(r) == 1 for r in sure) and sum((None, t) in got for t in (text(1), near(1))) == 1 and len(got) == len(sure) + 1
