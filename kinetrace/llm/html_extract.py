@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 1. Each host gets one reference tree: that of its page with the most kinds of nodes, the smallest such page.
-2. Every page is aligned to its host's reference by simple tree matching. Over all distinct pages of the host, each reference node with text
-   is counted with the texts that stand there: one that is mostly constant is template, one that varies is a content slot.
-3. Every page is cut into blocks. A block in an element for menus, headers, footers and so on goes, a block of an article element stays, and
-   for any other the template decides; text that no reference node aligns with is content.
+2. Every page is aligned to its host's reference by simple tree matching. Nodes that the reference lacks, and those within article elements,
+   whose like-named parts come in any number, are slots by their path of labels. Over all distinct pages of the host, each slot is counted with the texts that stand there: a text that most of
+   its pages share is template, a slot whose texts vary holds content.
+3. Every page is cut into blocks. A block in an element for menus, headers, footers and so on goes and template goes, also from an article
+   element. Other blocks of an article stay, those beside it if their slot varies. Without an article all text that is not template stays.
 
 Trees of references hold labels only. They, and the templates, are sent to all executors if they are small, and joined by host else.
 """
@@ -29,6 +30,8 @@ from kinetrace.session import table
 
 #: Fewest distinct pages that show a node, and the share of them with one text, that make the text template.
 LEAST_PAGES, CONSTANT_SHARE = 3, 0.5
+#: Largest share of its pages that a text of a varying slot has, if it stands on more than one.
+VARYING_SHARE = 0.2
 #: Share of a block's characters within links from which a block outside an article is a menu.
 LINK_SHARE = 0.6
 #: Characters of reference trees or templates that are sent to all executors; with more, pages are shuffled by host.
@@ -70,7 +73,7 @@ def clean(raw: str) -> str:
 class Page:
     """A parsed page: nodes with label, parent and what is known of their text; blocks in page order.
 
-    What stands in an element that is known to hold article text, or none, belongs to that element's node.
+    What stands in an element that is known to hold no article text belongs to that element's node.
     """
 
     labels: list[str] = field(default_factory=list)
@@ -81,13 +84,34 @@ class Page:
     blocks: list[tuple[int, str, float]] = field(default_factory=list)
 
     def node_texts(self) -> dict[int, int]:
-        """A hash of the text of each undecided node that has some."""
+        """A hash of the text of each node that has some and may hold content."""
         held: dict[int, list[str]] = {}
         for node, raw, _ in self.blocks:
-            if self.known[node] == 0 and (text := clean(raw)):
+            if self.known[node] >= 0 and (text := clean(raw)):
                 held.setdefault(node, []).append(text)
         return {node: xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) for node, texts in held.items()}
 
+    def tree(self) -> tuple[list[str], list[int], list[int]]:
+        """Labels and parents of the nodes outside articles, and which nodes they are."""
+        places: dict[int, int] = {}
+        for node, (known, parent) in enumerate(zip(self.known, self.parents, strict=True)):
+            if known <= 0 and (parent < 0 or parent in places):
+                places[node] = len(places)
+        return [self.labels[k] for k in places], [places.get(self.parents[k], -1) for k in places], list(places)
+
+    def aligned(self, ref_labels: list[str], ref_parents: list[int]) -> dict[int, int]:
+        labels, parents, nodes = self.tree()
+        return {nodes[a]: b for a, b in align(labels, parents, ref_labels, ref_parents).items()}
+
+    def slots(self, aligned: dict[int, int]) -> list[int]:
+        """The slot of each node: the reference node that it aligns with, or a negative hash of its path of labels."""
+        out: list[int] = []
+        paths: list[int] = []
+        for node, (label, parent) in enumerate(zip(self.labels, self.parents, strict=True)):
+            paths.append(xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), seed=paths[parent] if parent >= 0 else 0))
+            out.append(aligned[node] if node in aligned else -1 - (paths[node] >> 1))
+        return out
+
     def paths(self) -> int:
         """Kinds of nodes: distinct label paths from the root."""
         seen: dict[tuple[int, str], int] = {}
@@ -191,7 +215,7 @@ def parse(source: str) -> Page:
         if kind < 0 <= page.known[stack[-1]]:
             flush()
         above = page.known[stack[-1]]
-        if kind != above or above == 0 and (tag in RAW or tag in BLOCK):
+        if kind != above or above >= 0 and (tag in RAW or tag in BLOCK):
             page.labels.append(f"{tag}.{' '.join(sorted(attributes.get('class', '').split()))}")
             page.parents.append(stack[-1])
             page.known.append(kind)
@@ -260,17 +284,18 @@ def align(labels: list[str], parents: list[int], ref_labels: list[str], ref_pare
     return found
 
 
-def article_text(page: Page, constant: set[tuple[int, int]], aligned: dict[int, int]) -> str:
-    """The blocks of a page that are content; ``constant`` holds (reference node, hash) of template texts."""
-    texts = page.node_texts()
+def article_text(page: Page, constant: set[tuple[int, int]], aligned: dict[int, int], varying: frozenset[int] = frozenset()) -> str:
+    """The blocks of a page that are content; ``constant`` holds (slot, hash) of template texts, ``varying`` the slots of texts that vary."""
+    texts, slots = page.node_texts(), page.slots(aligned) if constant or varying else []
     article = any(page.known[node] > 0 for node, _, _ in page.blocks)
     kept = []
     for node, raw, linked in page.blocks:
         known = page.known[node]
-        if known == 0 and node in texts:
-            template = node in aligned and (aligned[node], texts[node]) in constant
-            beside = article and not page.labels[node].startswith("h1.")
-            known = -1 if beside or template or linked >= LINK_SHARE else 1
+        if known >= 0 and node in texts:
+            template = bool(constant) and (slots[node], texts[node]) in constant
+            varies = bool(varying) and slots[node] in varying
+            beside = known == 0 and article and not varies and not page.labels[node].startswith("h1.")
+            known = -1 if beside or template or known == 0 and linked >= LINK_SHARE else 1
         if known > 0 and (text := clean(raw)):
             kept.append(text)
     return "\n".join(kept)
@@ -290,7 +315,7 @@ def _by_host(rows: DataFrame, side: DataFrame, column: str) -> DataFrame:
 
 
 def induce(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(references, templates) of rows (_host, _html): one tree and one list of constant texts for each host."""
+    """(references, templates) of rows (_host, _html): for each host one tree, and one list of (slot, hash) of constant texts and (slot, null) of varying slots."""
 
     def richest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -300,7 +325,7 @@ def induce(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 key = (-page.paths(), len(page.labels), xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass")) >> 1)
                 if host not in best or key < best[host][0]:
                     best[host] = (key, page)
-            yield pd.DataFrame([(h, *k, json.dumps([p.labels, p.parents])) for h, (k, p) in best.items()], columns=["_host", "k1", "k2", "k3", "_tree"])
+            yield pd.DataFrame([(h, *k, json.dumps(p.tree()[:2])) for h, (k, p) in best.items()], columns=["_host", "k1", "k2", "k3", "_tree"])
 
     trees = rows.mapInPandas(richest, "_host string, k1 long, k2 long, k3 long, _tree string")
     references = materialise(trees.groupBy("_host").agg(F.min_by("_tree", F.struct("k1", "k2", "k3", "_tree")).alias("_tree")), "html-references")
@@ -315,17 +340,23 @@ def induce(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                     continue
                 if host not in trees:
                     trees[host] = json.loads(packed)
-                aligned = align(page.labels, page.parents, *trees[host])
+                slot = page.slots(page.aligned(*trees[host]))
                 digest = np.uint64(xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass"))).view(np.int64)
-                out.update((host, aligned[n], np.uint64(h).view(np.int64), digest) for n, h in texts.items() if n in aligned)
-            yield pd.DataFrame(list(out), columns=["_host", "node", "hash", "page"])
-
-    seen = _by_host(rows, references, "_tree").mapInPandas(slots, "_host string, node int, hash long, page long").distinct()
-    texts = seen.groupBy("_host", "node", "hash").agg(F.count(F.lit(1)).alias("n"))
-    # of the texts of a node only the most frequent can reach the share; sums of counts keep a hot host from one task
-    slots_ = texts.groupBy("_host", "node").agg(F.sum("n").alias("pages"), F.max_by("hash", F.struct("n", "hash")).alias("hash"), F.max("n").alias("most"))
-    constant = slots_.filter((F.col("pages") >= LEAST_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("pages")))
-    packed = constant.groupBy("_host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("node").cast("long"), "hash")))).alias("_template"))
+                out.update((host, slot[n], int(np.uint64(h).view(np.int64)), digest) for n, h in texts.items())
+                out.update((host, slot[n], None, digest) for n in texts)  # the page itself, once for each slot
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pd.DataFrame({"_host": columns[0], "slot": columns[1], "hash": pd.array(columns[2], "Int64"), "page": columns[3]})
+
+    seen = _by_host(rows, references, "_tree").mapInPandas(slots, "_host string, slot long, hash long, page long").distinct()
+    # counts by text keep a hot host from one task
+    texts = seen.groupBy("_host", "slot", "hash").agg(F.count(F.lit(1)).alias("n"))
+    texts = materialise(texts.filter((F.col("n") > 1) | F.col("hash").isNull()), "html-slots")
+    pages = texts.filter("hash is null").select("_host", "slot", F.col("n").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    most = texts.filter("hash is not null").join(pages, ["_host", "slot"])
+    constant = most.filter((F.col("n") >= CONSTANT_SHARE * F.col("pages")) & ((F.col("slot") >= 0) | (F.col("n") >= LEAST_PAGES)))
+    varying = pages.join(most.filter(F.col("n") > VARYING_SHARE * F.col("pages")).select("_host", "slot").distinct(), ["_host", "slot"], "left_anti")
+    told = constant.select("_host", "slot", "hash").union(varying.select("_host", "slot", F.lit(None).cast("long")))
+    packed = told.groupBy("_host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "hash")))).alias("_template"))
     return references, materialise(packed, "html-templates")
 
 
@@ -346,11 +377,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 page = parse(source)
                 if host not in known:
                     held = json.loads(template) if isinstance(template, str) else []
-                    known[host] = (json.loads(tree), {(n, int(np.int64(h).view(np.uint64))) for n, h in held})
-                reference, constant = known[host]
-                undecided = any(page.known[node] == 0 for node, _, _ in page.blocks)
-                aligned = align(page.labels, page.parents, *reference) if constant and undecided else {}
-                texts.append(article_text(page, constant, aligned))
+                    constant = {(n, int(np.int64(h).view(np.uint64))) for n, h in held if h is not None}
+                    known[host] = (json.loads(tree), constant, frozenset(n for n, h in held if h is None))
+                reference, constant, varying = known[host]
+                aligned = page.aligned(*reference) if constant or varying else {}
+                texts.append(article_text(page, constant, aligned, varying))
             yield pd.DataFrame({"_id": batch["_id"], "_url": batch["_url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     joined = _by_host(_by_host(rows, references, "_tree"), templates, "_template")

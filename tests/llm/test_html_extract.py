@@ -72,3 +72,20 @@ def test_articles_of_the_test_pages(spark):
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         parts = [html.unescape(re.sub(r"</?b>", "", p.replace("<br>", " "))).split() for p in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r.page_id] == "\n".join(" ".join(p) for p in parts if p)
+
+
+def test_slots_decide_beside_and_within_articles(spark):
+    rng = random.Random(4)
+    words = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    rows, want = [], {}
+    for k in range(24):
+        title, first, second, body, teaser = (words() for _ in range(5))
+        if k % 3:  # a card beside the real text, which is in a plain element
+            source = f"<body><div>Our motto</div><div class=text><p>{body}</p><p>{second}</p></div><article><p>{teaser}</p></article></body>"
+            want[k] = f"{body}\n{second}\n{teaser}"
+        else:  # another layout: notices within the article
+            source = f"<body><main><h1>{title}</h1><p>Like and share this page</p><p>{first}</p><p>{second}</p><p>Printed on paper</p></main><section>Our address</section></body>"
+            want[k] = f"{title}\n{first}\n{second}"
+        rows.append((k, f"https://one.example.com/{k}", source, None, None))
+    got = {r.page_id: r.text for r in he.extract_main_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert got == want
