@@ -6,6 +6,7 @@
    its pages share is template, a slot whose texts vary holds content.
 3. Every page is cut into blocks. A block in an element for menus, headers, footers and so on goes and template goes, also from an article
    element. Other blocks of an article stay, those beside it if their slot varies. Without an article all text that is not template stays.
+   What only a form or a word for a part of the layout speaks against stays if its slot varies, or if the page has no other text.
 
 Trees of references hold labels only. They, and the templates, are sent to all executors if they are small, and joined by host else.
 """
@@ -54,11 +55,19 @@ WORDS = frozenset(
     " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside rail widget widgets header masthead footer copyright legal"
     " comment comments reply replies disqus discussion respond form login signup subscribe newsletter search share sharing social related recommended toolbar skip".split()
 )
+#: Words of wrappers and parts of a page that may hold anything; the others name what is in an element.
+LAYOUT_WORDS = frozenset("sidebar sidebars rail search form header masthead toolbar widget widgets overlay modal popup notice notices alert legal".split())
+#: Words that say nothing in an id.
+NEUTRAL = frozenset("left right top bottom main inner outer wrapper wrap container box bar area slot block list links section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADS = frozenset("header masthead".split())
 WITHIN = frozenset("has no with without".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
 SCOPES = frozenset("html body table td th ul ol dl select article section main div form button".split())
 
+#: Verdicts on an element without article text: hidden or another element, by a word for what is in it, by a word or form around it.
+HARD, NAMED, LAYOUT = -3, -2, -1
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
@@ -78,7 +87,7 @@ class Page:
 
     labels: list[str] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
-    #: 1 in an article, -1 in an element that holds no article text, 0 undecided
+    #: 1 in an article, 0 undecided, ``HARD``, ``NAMED`` or ``LAYOUT`` in an element that holds no article text
     known: list[int] = field(default_factory=list)
     #: (node, raw text, share of it within links)
     blocks: list[tuple[int, str, float]] = field(default_factory=list)
@@ -87,7 +96,7 @@ class Page:
         """A hash of the text of each node that has some and may hold content."""
         held: dict[int, list[str]] = {}
         for node, raw, _ in self.blocks:
-            if self.known[node] >= 0 and (text := clean(raw)):
+            if self.known[node] >= LAYOUT and (text := clean(raw)):
                 held.setdefault(node, []).append(text)
         return {node: xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) for node, texts in held.items()}
 
@@ -122,20 +131,25 @@ class Page:
 
 
 def _node_kind(tag: str, attributes: dict[str, str], above: int) -> int:
-    if above < 0 or tag in HIDDEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return -1
-    if HIDING.search(attributes.get("style", "")) or attributes.get("role", "").lower() in ROLES:
-        return -1
-    names = {w.lower() for k in ("class", "id") for w in NAME_PART.findall(attributes.get(k, ""))}
+    if above == HARD or tag in HIDDEN and tag != "form" or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return HARD
+    role = attributes.get("role", "").lower()
+    if HIDING.search(attributes.get("style", "")) or role in ROLES - LAYOUT_WORDS:
+        return HARD
+    names, ids = ({w.lower() for w in NAME_PART.findall(attributes.get(k, ""))} for k in ("class", "id"))
     if tag == "header":
-        return above if above > 0 else -1
+        return above if above > 0 else min(above, NAMED)
     if tag in ("body", "html"):
         return above
     if tag in ("article", "main"):
-        return -1 if names & {"comment", "comments", "reply", "replies"} else 1
-    if names & WITHIN:
-        return above
-    return -1 if names & (WORDS - HEADS if above > 0 else WORDS) else above
+        # a wrapper's verdict ends here; articles in a list of comments, adverts or related pages are none
+        return NAMED if (names | ids) & {"comment", "comments", "reply", "replies"} or tag == "article" and above == NAMED else 1
+    if tag not in HEADINGS and ids - NEUTRAL <= WORDS:
+        names |= ids
+    words = frozenset() if (names | ids) & WITHIN else names & (WORDS - HEADS if above > 0 else WORDS)
+    if words - LAYOUT_WORDS:
+        return min(above, NAMED)
+    return min(above, LAYOUT) if words or tag == "form" or role in LAYOUT_WORDS else above
 
 
 def parse(source: str) -> Page:
@@ -212,10 +226,10 @@ def parse(source: str) -> Page:
                 flush()
             continue
         kind = _node_kind(tag, attributes, page.known[stack[-1]])
-        if kind < 0 <= page.known[stack[-1]]:
+        if kind < min(1, page.known[stack[-1]]) and kind < 0:
             flush()
         above = page.known[stack[-1]]
-        if kind != above or above >= 0 and (tag in RAW or tag in BLOCK):
+        if kind != above or above >= LAYOUT and (tag in RAW or tag in BLOCK):
             page.labels.append(f"{tag}.{' '.join(sorted(attributes.get('class', '').split()))}")
             page.parents.append(stack[-1])
             page.known.append(kind)
@@ -286,16 +300,23 @@ def align(labels: list[str], parents: list[int], ref_labels: list[str], ref_pare
 
 def article_text(page: Page, constant: set[tuple[int, int]], aligned: dict[int, int], varying: frozenset[int] = frozenset()) -> str:
     """The blocks of a page that are content; ``constant`` holds (slot, hash) of template texts, ``varying`` the slots of texts that vary."""
-    texts, slots = page.node_texts(), page.slots(aligned) if constant or varying else []
+    texts = page.node_texts()
+    slots = page.slots(aligned) if constant or varying else []
     article = any(page.known[node] > 0 for node, _, _ in page.blocks)
+    wrapped = not any(page.known[node] >= 0 and node in texts for node, _, _ in page.blocks) if texts else False
+    within = [known > 0 for known in page.known]
+    for node, parent in enumerate(page.parents):
+        within[node] |= parent >= 0 and within[parent]
     kept = []
     for node, raw, linked in page.blocks:
         known = page.known[node]
-        if known >= 0 and node in texts:
+        if known >= LAYOUT and node in texts:
             template = bool(constant) and (slots[node], texts[node]) in constant
             varies = bool(varying) and slots[node] in varying
             beside = known == 0 and article and not varies and not page.labels[node].startswith("h1.")
-            known = -1 if beside or template or known == 0 and linked >= LINK_SHARE else 1
+            if known == LAYOUT and not wrapped:  # the verdict holds unless the slot varies
+                beside = not varies or article and not within[node]
+            known = -1 if beside or template or known <= 0 and linked >= LINK_SHARE else 1
         if known > 0 and (text := clean(raw)):
             kept.append(text)
     return "\n".join(kept)

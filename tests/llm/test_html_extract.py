@@ -89,3 +89,23 @@ def test_slots_decide_beside_and_within_articles(spark):
         rows.append((k, f"https://one.example.com/{k}", source, None, None))
     got = {r.page_id: r.text for r in he.extract_main_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
     assert got == want
+
+
+def test_verdicts_of_wrappers_and_ids():
+    text = lambda source: he.article_text(he.parse(source), set(), {})
+    assert text("<body><form><h1>Title</h1><div><p>Body</p></div></form></body>") == "Title\nBody"
+    assert text("<form><div>Go</div><article><p>Body</p></article></form>") == "Body"
+    for wrapper in ("class='content sidebar-right'", "id='search-results'", "class=search-page", "id=sidebar-main"):
+        assert text(f"<body><div {wrapper}><article><p>Body</p></article></div><div id=sidebar-left>Other</div></body>") == "Body"
+    inner = "<h2 id='cookies-and-sessions'>A</h2><section id='related-work'>B</section><h2 id='search-algorithms'>C</h2><h2 id=search>D</h2>"
+    assert text(f"<article>{inner}<div class=share>x</div><aside>y</aside><div id=cookieNotice>z</div></article>") == "A\nB\nC\nD"
+    for closed in ("aside", "nav", "div hidden", "div class=comments", "div class=related"):
+        assert text(f"<p>Body</p><{closed}><article>Card</article></{closed.split()[0]}>") == "Body"
+
+
+def test_varying_slots_overrule_words_of_the_layout(spark):
+    source = lambda k: f"<p>Motto</p><div class=page-widget><p>Text{k} body</p></div><div class=ad>Buy{k}</div><div class=page-header>Our name</div>"
+    rows = [(k, f"https://one.example.com/{k}", source(k), None, None) for k in range(6)]
+    rows += [(9, "https://two.example.com/", source(9), None, None)]
+    got = {r.page_id: r.text for r in he.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {**{k: f"Text{k} body" for k in range(6)}, 9: "Motto"}
