@@ -1,8 +1,8 @@
 """Language-model scoring with Elias-Fano n-gram tries, dealt over the cluster.
 
-The model is a bigram model with a Dirichlet prior on add-half word probabilities: p(w | v) = (c(v, w) + M p(w)) / (c(v) + M). The ``MOST_CLASSES`` most
-frequent words are classes of their own; all others share one class as contexts and successors, while each keeps its own exact word
-probability within the class. M maximises the leave-one-out likelihood of all training tokens.
+The model is a bigram model with a Dirichlet prior on add-half word probabilities: p(w | v) = (c(v, w) + M p(w)) / (c(v) + M). Each word keeps
+its pairs. The ``SENT_WORDS`` most frequent words have short ids that every executor knows; all others go by their 64-bit hashes, and each shard
+numbers those it meets. M maximises the leave-one-out likelihood of all training tokens.
 
 Word pairs are dealt by hash to shards. Each shard is a trie in one buffer: contexts, monotone pointers to their successors, and the successors
 made monotone by their context's rank, all as Elias-Fano sequences, with a quantised smoothed log probability relative to backing
@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.llm.words import chunks, mix, word_hashes
-from kinetrace.llm.workspace import materialise
+from kinetrace.llm.workspace import materialise, release
 from kinetrace.session import table
 
-#: Words that are classes of their own; words whose pairs every executor has; both bound what is broadcast: 16 and 2 MB.
-MOST_CLASSES, HEAD = 1 << 19, 512
+#: Words with ids; words whose pairs every executor has; both bound what is broadcast: 16 and 2 MB.
+SENT_WORDS, HEAD = 1 << 19, 512
+#: With a number, only so many words keep their pairs and the others share class 0; no limit otherwise.
+MOST_CLASSES: int | None = None
 #: Training tokens of a shard, fewest shards, and bytes of text that are worked on together.
 SHARD_TOKENS, LEAST_SHARDS, RUN_BYTES = 4_000_000, 48, 4 << 20
 #: Steps of a quantised value, bits of a class in a pair.
@@ -143,7 +145,10 @@ class Trie:
 
 @dataclass
 class Classes:
-    """The frequent words: sorted hashes with their classes, and of each class its training count and probability; class 0 holds all other words."""
+    """The frequent words: sorted hashes with their ids, and of each id its training count and probability; 0 stands for all other words.
+
+    If the classes are ``open``, 0 has no pairs and the other words are told apart by their hashes.
+    """
 
     hashes: np.ndarray
     ids: np.ndarray
@@ -151,6 +156,7 @@ class Classes:
     tokens: int
     kinds: int
     head: int
+    open: bool = True
 
     def __post_init__(self):
         self.norm = self.tokens + 0.5 * (self.kinds + 1)
@@ -164,6 +170,36 @@ class Classes:
         at[at == len(self.hashes)] = 0
         return np.where(self.hashes[at] == words, self.ids[at], 0)
 
+    def split(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, pair keys, which pairs have a word without id, those pairs' words: the id or else the hash)."""
+        ids = self.of(tokens)
+        keys, before = _pairs(ids, starts), _before(starts)
+        odd = ((ids == 0) | (ids[before] == 0)) & self.open
+        code = np.where(ids == 0, tokens, ids.astype(np.uint64))
+        return ids, keys, odd, np.stack([code[before[odd]], code[odd]], axis=1)
+
+    def shard_of(self, codes: np.ndarray, shards: int) -> np.ndarray:
+        """Shards of pairs with a word without id: that of its second word if that has none, else of its first."""
+        return (mix(np.where(self.rare(codes[:, 1]), codes[:, 1], codes[:, 0])) % np.uint64(shards)).astype(np.int64)
+
+    def rare(self, codes: np.ndarray) -> np.ndarray:
+        return codes >= np.uint64(len(self.counts))
+
+    def local(self, codes: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair keys, whether the shard knows both words), words without id numbered by their places in the sorted ``rare`` of a shard."""
+        at = np.searchsorted(rare, codes)
+        at[at == len(rare)] = 0
+        odd = self.rare(codes)
+        known = ~odd | (rare[at] == codes if len(rare) else False)
+        ids = np.where(odd, np.uint64(len(self.counts)) + at.astype(np.uint64), codes)
+        if len(self.counts) + len(rare) >= 1 << CLASS_BITS:
+            raise ValueError("a shard has more words than its pairs can number")
+        return ids[:, 0] << np.uint64(CLASS_BITS) | ids[:, 1], known.all(axis=1)
+
+    def with_rare(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and shares of the ids and the words of a shard that occur ``n`` times."""
+        return np.append(self.counts, n), np.append(self.share, (n + 0.5) / self.norm)
+
 
 @dataclass
 class NgramModel:
@@ -190,6 +226,20 @@ def _tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def _before(starts: np.ndarray) -> np.ndarray:
+    """The place of the token before each; the first token of a text follows the end."""
+    before = np.arange(-1, starts[-1] - 1)
+    before[starts[:-1]] = starts[1:] - 1
+    return before
+
+
+def _by_shard(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by shard that keeps places, and (shard, from, to) of each shard's run in it."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+    return order, [(int(shard[order[a]]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _pairs(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Pair key of each token with the one before it; the first token of a text follows the end."""
     before = np.empty_like(ids)
@@ -234,7 +284,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 def _frequent(words: DataFrame) -> Classes:
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
     sizes = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n", ascending=False)  # one row per frequency
-    fits = sizes[sizes["words"].cumsum() <= MOST_CLASSES]
+    fits = sizes[sizes["words"].cumsum() <= (SENT_WORDS if MOST_CLASSES is None else MOST_CLASSES)]
     least = int(fits["n"].min()) if len(fits) else None
     top = words.filter(F.col("n") >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "n": []})
     hashes, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
@@ -243,7 +293,7 @@ def _frequent(words: DataFrame) -> Classes:
     ids = np.empty(len(rank), np.int64)
     ids[rank] = np.arange(1, len(rank) + 1)
     order = np.argsort(hashes)
-    return Classes(hashes[order], ids[order], counts, int(total["tokens"]), int(total["kinds"]), HEAD)
+    return Classes(hashes[order], ids[order], counts, int(total["tokens"]), int(total["kinds"]), HEAD, MOST_CLASSES is None)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> NgramModel:
@@ -256,23 +306,25 @@ def train(docs: DataFrame, text_col: str = "text") -> NgramModel:
     shared = spark.sparkContext.broadcast(classes)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, head = ["shard", "keys", "counts", "head", "head_n"], np.zeros((shared.value.head + 1) ** 2, np.int64)
+        columns, head = ["shard", "keys", "counts", "odd", "head", "head_n"], np.zeros((shared.value.head + 1) ** 2, np.int64)
         for batch in batches:
             for _, raws in _texts(batch):
                 tokens, starts = _tokens(raws)
-                keys, n = np.unique(_pairs(shared.value.of(tokens), starts), return_counts=True)
+                _, keys, odd, codes = shared.value.split(tokens, starts)
+                keys, n = np.unique(keys[~odd], return_counts=True)
                 top = _in_head(keys, shared.value.head)
                 head[_head_place(keys[top], shared.value.head)] += n[top]
                 keys, n = keys[~top], n[~top]
                 shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
-                out = [(int(shard[order[a]]), _planes(keys[order[a:b]]), n[order[a:b]].astype("<u4").tobytes(), None, None) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                order, runs = _by_shard(shard)
+                out = [(k, _planes(keys[order[a:b]]), n[order[a:b]].astype("<u4").tobytes(), b"", None, None) for k, a, b in runs]
+                order, runs = _by_shard(shared.value.shard_of(codes, shards))
+                out += [(k, b"", b"", codes[order[a:b]].tobytes(), None, None) for k, a, b in runs]
                 yield pd.DataFrame(out, columns=columns)
         seen = np.flatnonzero(head)
-        yield pd.DataFrame([(-1, None, None, seen.tolist(), head[seen].tolist())], columns=columns)
+        yield pd.DataFrame([(-1, None, None, None, seen.tolist(), head[seen].tolist())], columns=columns)
 
-    counted = materialise(rows.mapInPandas(count, "shard long, keys binary, counts binary, head array<int>, head_n array<long>"), "lm-pairs")
+    counted = materialise(rows.mapInPandas(count, "shard long, keys binary, counts binary, odd binary, head array<int>, head_n array<long>"), "lm-pairs")
     heads = counted.filter("shard < 0").select(F.explode(F.arrays_zip("head", "head_n")).alias("x")).groupBy("x.head").agg(F.sum("x.head_n").alias("n")).toPandas()
     dense = np.zeros((HEAD + 1) ** 2, np.int64)
     dense[heads["head"].to_numpy(np.int64)] = heads["n"].to_numpy(np.int64)
@@ -280,32 +332,47 @@ def train(docs: DataFrame, text_col: str = "text") -> NgramModel:
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([_from_planes(x) for x in group["keys"]])
         n = np.concatenate([np.frombuffer(x, "<u4") for x in group["counts"]])
+        codes = np.frombuffer(b"".join(group["odd"]), np.uint64).reshape(-1, 2)
+        rare = np.unique(codes[shared.value.rare(codes)])
+        keys, n = np.append(keys, shared.value.local(codes, rare)[0]), np.append(n, np.ones(len(codes), n.dtype))
         order = np.argsort(keys, kind="stable")
         keys, first = np.unique(keys[order], return_index=True)
         sums = np.add.reduceat(n[order].astype(np.int64), first)
-        return pd.DataFrame([(int(group["shard"].iloc[0]), Trie.pack(keys), sums.astype("<u4").tobytes(), _left_out(keys, sums, shared.value).tolist())], columns=["shard", "trie", "counts", "gain"])
+        return pd.DataFrame([(int(group["shard"].iloc[0]), Trie.pack(keys), sums.astype("<u4").tobytes(), rare.view(np.int64))], columns=["shard", "trie", "counts", "rare"])
+
+    merged = counted.filter("shard >= 0").select("shard", "keys", "counts", "odd").groupBy("shard").applyInPandas(merge, "shard long, trie binary, counts binary, rare array<long>")
+    merged = numbered = materialise(merged, "lm-counts")
+    release(counted)
+    # how often the words without id that a shard knows occur, in its order
+    met = merged.select("shard", F.posexplode("rare").alias("at", "word")).join(words, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("met"))
+    merged = materialise(merged.join(met, "shard", "left").withColumn("rare_n", F.coalesce(F.col("met.n"), F.array().cast("array<long>"))).drop("met"), "lm-counts")
+    release(numbered)
 
-    merged = counted.filter("shard >= 0").select("shard", "keys", "counts").groupBy("shard").applyInPandas(merge, "shard long, trie binary, counts binary, gain array<double>")
-    merged = materialise(merged, "lm-counts")
-    gains = merged.select(F.posexplode("gain").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g")).toPandas()
+    def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gain = [_left_out(Trie(t).keys(), np.frombuffer(c, "<u4").astype(np.int64), *shared.value.with_rare(r)).tolist() for t, c, r in zip(batch["trie"], batch["counts"], batch["rare_n"], strict=True)]
+            yield pd.DataFrame({"gain": gain})
+
+    gains = merged.select("trie", "counts", "rare_n").mapInPandas(leave_out, "gain array<double>").select(F.posexplode("gain").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g")).toPandas()
     seen = np.flatnonzero(dense)
-    total = _left_out(_head_keys(seen, HEAD), dense[seen], classes) if len(seen) else np.zeros(len(STRENGTHS))
+    total = _left_out(_head_keys(seen, HEAD), dense[seen], classes.counts, classes.share) if len(seen) else np.zeros(len(STRENGTHS))
     total[gains["k"].to_numpy(np.int64)] += gains["g"].to_numpy(np.float64)
     strength = float(STRENGTHS[int(total.argmax())])
 
     def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for shard, trie, counts in zip(batch["shard"], batch["trie"], batch["counts"], strict=True):
-                gain = _over_backing_off(Trie(trie).keys(), np.frombuffer(counts, "<u4").astype(np.float64), shared.value, strength)
+            for shard, trie, counts, rare, rare_n in zip(batch["shard"], batch["trie"], batch["counts"], batch["rare"], batch["rare_n"], strict=True):
+                gain = _over_backing_off(Trie(trie).keys(), np.frombuffer(counts, "<u4").astype(np.float64), shared.value.with_rare(rare_n)[1], strength)
                 low, high = float(gain.min()), float(gain.max())
                 step = max(high - low, 1e-9) / STEPS
-                out.append((shard, trie, np.round((gain - low) / step).astype("<u2").tobytes(), low, step))
-            yield pd.DataFrame(out, columns=["shard", "trie", "values", "low", "step"])
+                out.append((shard, trie, np.round((gain - low) / step).astype("<u2").tobytes(), low, step, rare))
+            yield pd.DataFrame(out, columns=["shard", "trie", "values", "low", "step", "rare"])
 
-    tries = materialise(merged.select("shard", "trie", "counts").mapInPandas(smooth, "shard long, trie binary, values binary, low double, step double"), "lm-tries")
+    tries = materialise(merged.select("shard", "trie", "counts", "rare", "rare_n").mapInPandas(smooth, "shard long, trie binary, values binary, low double, step double, rare array<long>"), "lm-tries")
+    release(merged)
     gain = np.zeros(len(dense))
-    gain[seen] = _over_backing_off(_head_keys(seen, HEAD), dense[seen].astype(np.float64), classes, strength) if len(seen) else 0.0
+    gain[seen] = _over_backing_off(_head_keys(seen, HEAD), dense[seen].astype(np.float64), classes.share, strength) if len(seen) else 0.0
     return NgramModel(shared, shards, strength, words, tries, spark.sparkContext.broadcast(gain))
 
 
@@ -317,16 +384,16 @@ def _head_keys(places: np.ndarray, head: int) -> np.ndarray:
     return (places // (head + 1)).astype(np.uint64) << np.uint64(CLASS_BITS) | (places % (head + 1)).astype(np.uint64)
 
 
-def _over_backing_off(keys: np.ndarray, n: np.ndarray, classes: Classes, strength: float) -> np.ndarray:
+def _over_backing_off(keys: np.ndarray, n: np.ndarray, shares: np.ndarray, strength: float) -> np.ndarray:
     """log10 of p(w | v) over M p(w) / (c(v) + M)."""
-    share = classes.share[(keys & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)]
+    share = shares[(keys & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)]
     return np.log10(1.0 + n / (strength * share))
 
 
-def _left_out(keys: np.ndarray, n: np.ndarray, classes: Classes) -> np.ndarray:
+def _left_out(keys: np.ndarray, n: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Log likelihood relative to single words of these pairs for each strength, each occurrence left out of its own counts."""
-    context = classes.counts[(keys >> np.uint64(CLASS_BITS)).astype(np.int64)]
-    ratio = (n - 1) / classes.share[(keys & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)]
+    context = counts[(keys >> np.uint64(CLASS_BITS)).astype(np.int64)]
+    ratio = (n - 1) / shares[(keys & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)]
     return np.array([(n * np.log10((ratio + m) / (np.maximum(context - 1, 0) + m))).sum() for m in STRENGTHS])
 
 
@@ -349,48 +416,52 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
         ids, texts = batch["_id"].tolist(), batch["_text"].tolist()
         for first, raws in chunks(texts, RUN_BYTES):
             tokens, starts = _tokens(raws)
-            own = classes.value.of(tokens)
             span = slice(first, first + len(raws))
-            yield span, _uid(ids[span], texts[span]), tokens, own, starts, _pairs(own, starts)
+            yield span, _uid(ids[span], texts[span]), tokens, starts, *classes.value.split(tokens, starts)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = classes.value
         for batch in batches:
-            for span, uid, tokens, own, starts, keys in look(batch):
+            for span, uid, tokens, starts, own, keys, odd, _ in look(batch):
                 at, rare = starts[:-1], own == 0
                 base = np.add.reduceat(np.where(rare, 0.0, np.log10(c.counts[own] + 0.5)), at)
                 context = (keys >> np.uint64(CLASS_BITS)).astype(np.int64)
-                gain = np.log10(strength / (c.counts[context] + strength))
-                top = _in_head(keys, c.head)
+                # each token is a context once, so those without id follow with the joined counts
+                gain = np.where((context == 0) & c.open, 0.0, np.log10(strength / (c.counts[context] + strength)))
+                top = _in_head(keys, c.head) & ~odd
                 gain[top] += head.value[_head_place(keys[top], c.head)]
                 out = pd.DataFrame({"_id": batch["_id"].iloc[span].to_numpy(), "uid": uid, "n_tokens": np.diff(starts), "known": np.add.reduceat((~rare).astype(np.int64), at), "base": base, "gain": np.add.reduceat(gain, at)})
                 edges = np.searchsorted(np.flatnonzero(rare), starts)
-                odd = tokens[rare].view(np.int64)
-                out["rare"] = [odd[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                others = tokens[rare].view(np.int64)
+                out["rare"] = [others[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield out
 
     def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, uid, _, _, starts, keys in look(batch):
+            for _, uid, _, starts, _, keys, odd, codes in look(batch):
                 doc = np.repeat(np.arange(len(uid)), np.diff(starts))
-                away = ~_in_head(keys, classes.value.head)
-                keys, doc = keys[away], doc[away]
-                shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")  # documents stay in order within a shard
-                cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
-                out = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    own, sizes = np.unique(doc[order[a:b]], return_counts=True)
-                    out.append((int(shard[order[a]]), uid[own].tobytes(), sizes.astype("<u4").tobytes(), _planes(keys[order[a:b]])))
-                yield pd.DataFrame(out, columns=["shard", "uids", "sizes", "keys"])
+                away, out = ~_in_head(keys, classes.value.head) & ~odd, []
+                near_keys = keys[away]
+                for held, docs_, shard, pack in ((near_keys, doc[away], (mix(near_keys) % np.uint64(shards)).astype(np.int64), _planes), (codes, doc[odd], classes.value.shard_of(codes, shards), np.ndarray.tobytes)):
+                    order, runs = _by_shard(shard)  # documents stay in order within a shard
+                    for k, a, b in runs:
+                        own, sizes = np.unique(docs_[order[a:b]], return_counts=True)
+                        out.append((k, uid[own].tobytes(), sizes.astype("<u4").tobytes(), pack(held[order[a:b]]), pack is not _planes))
+                yield pd.DataFrame(out, columns=["shard", "uids", "sizes", "keys", "odd"])
 
     def answer(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         uids, sums = [], []
         if len(held):
             trie, values = Trie(held["trie"].iloc[0]), np.frombuffer(held["values"].iloc[0], "<u2")
             low, step = held["low"].iloc[0], held["step"].iloc[0]
-            for uid, sizes, keys in zip(asked["uids"], asked["sizes"], asked["keys"], strict=True):
-                at = trie.find(_from_planes(keys))
+            rare = np.asarray(held["rare"].iloc[0], np.int64).view(np.uint64)
+            for uid, sizes, keys, odd in zip(asked["uids"], asked["sizes"], asked["keys"], asked["odd"], strict=True):
+                if odd:
+                    keys, known = classes.value.local(np.frombuffer(keys, np.uint64).reshape(-1, 2), rare)
+                    at = np.full(len(keys), -1, np.int64)
+                    at[known] = trie.find(keys[known])
+                else:
+                    at = trie.find(_from_planes(keys))
                 gain = np.where(at >= 0, low + step * values[at], 0.0)
                 sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
                 total = np.add.reduceat(gain, np.cumsum(sizes) - sizes)
@@ -402,8 +473,9 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     meta = materialise(rows.mapInPandas(near, f"_id {kind}, uid long, n_tokens long, known long, base double, gain double, rare array<long>"), "lm-documents")
     rare = meta.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("times"))
     tail = rare.join(model.words, "word", "left").select("uid", F.col("times"), F.coalesce("n", F.lit(0)).alias("n"))
-    tail = tail.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("tail"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
-    asked = rows.mapInPandas(far, "shard long, uids binary, sizes binary, keys binary")
+    backing = F.log10(F.lit(strength) / (F.col("n") + F.lit(strength))) if classes.value.open else F.lit(0.0)
+    tail = tail.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("tail"), F.sum(F.col("times") * backing).alias("tail_gain"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
+    asked = rows.mapInPandas(far, "shard long, uids binary, sizes binary, keys binary, odd boolean")
     sums = asked.groupBy("shard").cogroup(model.tries.groupBy("shard")).applyInPandas(answer, "uid long, far double").groupBy("uid").agg(F.sum("far").alias("far"))
     # rows that repeat have sent their pairs and rare words as often as they occur
     times = meta.groupBy("uid").agg(F.count(F.lit(1)).alias("m"))
@@ -416,7 +488,7 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
         (F.col("known") + part("tail_known")).cast("long").alias("n_known"),
         F.lit(classes.value.tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("gain") + part("far")).alias("score"),
+        (base + F.col("gain") + part("tail_gain") + part("far")).alias("score"),
     )
 
 

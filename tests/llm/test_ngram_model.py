@@ -97,3 +97,23 @@ def test_repeated_rows_no_rows_and_no_training(spark):
     nothing = lm.train(docs.filter("false"))
     assert all(g.n_known == 0 and g.base_score == pytest.approx(0) for g in lm.score(docs, nothing).collect())
     assert lm.score(docs.filter("false"), nothing).count() == 0
+
+
+def test_all_words_keep_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SENT_WORDS", 40)
+    monkeypatch.setattr(lm, "HEAD", 4)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(lm, "RUN_BYTES", 2000)
+    rng = random.Random(6)
+    vocabulary = [f"W{k}é" for k in range(300)]
+    weights = [1 / (k + 1) for k in range(300)]
+    rows = [(k, " ".join(rng.choices(vocabulary, weights, k=rng.choice([1, 5, 60]))) + " rare then once", "x", 1, 2) for k in range(120)]
+    rows += [(200, None, None, None, None), (201, "never then w299é w298é", "", 0, 0), (202, "w250é w251é " * 50, "", 0, 0)]
+    train = [r for r in rows if r[0] < 100] + [(300, "w250é w251é w250é w251é", "", 0, 0)]
+    model = lm.train(spark.createDataFrame(train, DOCS).repartition(3))
+    want, *_ = brute([r[1] for r in train], [(r[0], r[1]) for r in rows], model.strength, 10**9)
+    got = {g.doc_id: g for g in lm.score(spark.createDataFrame(rows, DOCS).repartition(4), model).collect()}
+    assert len(got) == len(rows)
+    for doc, w in want.items():
+        g = got[doc]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == w[:3] and g.base_score == pytest.approx(w[3], abs=1e-6) and g.score == pytest.approx(w[4], abs=2e-3 * w[0] ** 0.5)
