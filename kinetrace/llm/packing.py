@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinetrace.llm import tokens
-from kinetrace.llm.workspace import row_count
+from kinetrace.llm.workspace import row_count, runs
 from kinetrace.session import table
 
 #: Tokens of a full sequence; documents that meet in one group on average; the id that ends a document.
@@ -91,30 +96,40 @@ def close_gaps(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[li
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = 17, whole: bool = False) -> DataFrame:
     """One row per piece of a document, with the sequence and the place in it where the piece lies.
 
-    A null text counts as empty and packs its end id alone. Long documents give full sequences of their own at once;
-    what is left of each, under one sequence, goes to one of rows / ``group_docs`` random groups, so that no group grows with
-    the input, whatever key the documents share. Repeated rows are packed as often as they occur. An empty table gives
-    an empty result; columns other than the two named are ignored.
+    A null text counts as empty and packs its end id alone; a null id stays null. Long documents give full sequences of their own at once;
+    what is left of each, under one sequence, goes to one of rows / ``group_docs`` random groups. The group hangs on the document and
+    on how many like it its partition has had before, so no group grows with the input, also not if all documents share an id and a text.
+    Repeated rows are packed as often as they occur. An empty table gives an empty result; columns other than the two named are ignored.
     """
     groups = max(1, -(-row_count(docs) // group_docs))
+    dealt = T.StructType.fromDDL("_id long, _grp long, _n long, _full array<long>, _tail binary")
+    pieces = T.StructType.fromDDL(PIECES)
+    dealt_arrow, pieces_arrow = to_arrow_schema(dealt), to_arrow_schema(pieces)
 
-    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokens.load(tokenizer_path, whole)
+        task, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            rows = []
-            for doc, grp, ids in zip(batch["_id"], batch["_grp"], tok.encode(batch["_text"].tolist(), end_id), strict=True):
-                ids = np.frombuffer(ids, tok.dtype).astype("<u4")
-                cut = len(ids) // capacity * capacity
-                rows.append((doc, grp, len(ids), [zlib.crc32(ids[k : k + capacity].tobytes()) for k in range(0, cut, capacity)], ids[cut:].astype(tok.dtype).tobytes()))
-            yield pd.DataFrame(rows, columns=["_id", "_grp", "_n", "_full", "_tail"])
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
+            for run in runs(batch, "_text", tokens.RUN):
+                grp, n, full, tails = [], [], [], []
+                for id_, ids in zip(run.column("_id").to_pylist(), tok.encode(run.column("_text").to_pylist(), end_id), strict=True):
+                    own = xxhash.xxh3_64_intdigest(ids, seed=seed) ^ hash(id_)
+                    grp.append(xxhash.xxh3_64_intdigest(f"{id_} {own} {task} {seen[own]}", seed=seed) % groups)
+                    seen[own] += 1
+                    ids = np.frombuffer(ids, tok.dtype).astype("<u4")
+                    cut = len(ids) // capacity * capacity
+                    n.append(len(ids))
+                    full.append([zlib.crc32(ids[k : k + capacity].tobytes()) for k in range(0, cut, capacity)])
+                    tails.append(ids[cut:].astype(tok.dtype).tobytes())
+                columns = [run.column("_id"), grp, n, full, tails]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, dealt_arrow, strict=True)], schema=dealt_arrow)
+
+    def place(group: pa.Table) -> pa.Table:
         dtype = tokens.load(tokenizer_path, whole).dtype
-        group = group.sort_values(["_id", "_n", "_tail"], kind="stable")
-        ids, totals, fulls = group["_id"].tolist(), group["_n"].tolist(), group["_full"].tolist()
-        tails = [np.frombuffer(x, dtype).astype("<u4") for x in group["_tail"]]
-        rows, base = [], int(group["_grp"].iloc[0]) << 32 if len(group) else 0
-        seq = base
+        group = group.combine_chunks().sort_by([("_id", "ascending"), ("_n", "ascending"), ("_tail", "ascending")])
+        ids, totals, fulls = (group.column(c).to_pylist() for c in ("_id", "_n", "_full"))
+        tails = [np.frombuffer(x, dtype).astype("<u4") for x in group.column("_tail").to_pylist()]
+        seq, rows = group.column("_grp")[0].as_py() << 32, []
         for doc, total, full in zip(ids, totals, fulls, strict=True):
             for k, crc in enumerate(full):
                 rows.append((doc, k * capacity, capacity, crc, total, seq, 0))
@@ -127,12 +142,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 rows.append((ids[i], totals[i] - len(tails[i]) + start, length, zlib.crc32(tails[i][start : start + length].tobytes()), totals[i], seq, at))
                 at += length
             seq += 1
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return out.astype({"doc_id": "Int64"})
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), pieces_arrow, strict=True)], schema=pieces_arrow)
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_grp", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(groups)))
-    rows = dealt.select("_id", "_text", "_grp").mapInPandas(tokenise, "_id long, _grp long, _n long, _full array<long>, _tail binary")
-    return rows.groupBy("_grp").applyInPandas(place, PIECES)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    return texts.mapInArrow(tokenise, dealt).groupBy("_grp").applyInArrow(place, pieces)
 
 
 def op3_pack(spark, sf_dir: str) -> DataFrame:

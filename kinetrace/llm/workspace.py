@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,4 +71,25 @@ def working_on(operator: str) -> None:
         _working_on[:] = [operator]
         for forget in _caches:
             forget()
-        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return what this process has freed to the machine, which holds the memory of all workers of an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
+def runs(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of a string or binary column each, so that only these become Python objects at once."""
+    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64)
+    first, upto = 0, np.cumsum(sizes)
+    while first < batch.num_rows:
+        before = int(upto[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + size, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
