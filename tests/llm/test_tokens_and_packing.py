@@ -29,6 +29,36 @@ def test_words_give_the_ids_of_whole_texts():
         assert np.frombuffer(ids, tok.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_words_give_the_ids_of_whole_texts_over_all_of_unicode():
+    rng = random.Random(11)
+    marks = "İ,.É!ß'’~<|>\u0301\u0307\u0327\u0338\x1c\x85\xa0\u2028\u3000 \n\tÀéªµ½²'s'll0٣日本ΣςǅﬁeW\u030a\u212a\u037e.,"
+    wide = [chr(c) for c in range(1, 0x2FFF) if not 0xD800 <= c < 0xE000]
+    tok, lib = tokens.WordTokenizer(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    texts = ["BELEDİYESİ, ANKARA", "BİLGİSİ. Yeni", "<|ENDOFTEXT|> <|endoftext|>, x", "a" * 300 + ", " + "b." * 90, "?!. a?!b it's, x's. Don'T!", "\u0958, \ufb1d. İ;"]
+    for _ in range(4000):
+        pool = rng.choice([marks, "abcÉéÀ.,'!?  \n019-", wide])
+        texts.append("".join(rng.choice(pool) for _ in range(rng.randint(1, 40))))
+    for _ in range(2):  # from the library, and then as remembered
+        wrong = [t for t, ids in zip(texts, tok.encode(texts), strict=True) if np.frombuffer(ids, tok.dtype).tolist() != lib.encode(t, add_special_tokens=False).ids]
+        assert not wrong
+
+
+def test_null_and_large_ids_of_one_batch_stay_as_they_are(spark, tmp_path):
+    big = 1152921504606846977
+    docs = spark.createDataFrame([(None, "a b", "x", 1), (big, "c d.", "x", 1), (2**53 + 1, None, "x", 1), (None, None, "x", 1), (big, "c d.", "x", 1)], DOCS).coalesce(1)
+    got = packing.pack(docs, tokens.default_path()).toPandas().doc_id.tolist()
+    assert sorted(str(x) for x in packing.pack(docs, tokens.default_path()).rdd.map(lambda r: r.doc_id).collect()) == sorted(["None", "None", str(big), str(big), str(2**53 + 1)]) and len(got) == 5
+    token_files.write_token_files(docs, str(tmp_path / "ids"), tokens.default_path())
+    rows = sorted(token_files.read_token_files(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 2**53 + 1, big, big]
+
+
+def test_one_hot_document_is_dealt_to_all_groups(spark):
+    docs = spark.createDataFrame([(None, "one text", "x", 1)] * 4000, DOCS).repartition(4)
+    got = packing.pack(docs, tokens.default_path(), group_docs=100).selectExpr("sequence_id >> 32 as grp").groupBy("grp").count().toPandas()
+    assert len(got) == 40 and got["count"].max() < 200
+
+
 def test_every_id_lies_in_one_piece_and_sequences_have_no_padding(spark):
     rows = corpus()
     got = packing.pack(spark.createDataFrame(rows, DOCS), tokens.default_path(), group_docs=10).toPandas()
@@ -81,7 +111,9 @@ def test_code_lengths_are_optimal_limited_and_decodable(seed):
     steep = np.array([1, 1, *np.cumprod(np.full(30, 2))])
     short = token_files.code_lengths(steep)
     assert short.max() <= 16 and abs(sum(2.0 ** -int(b) for b in short if b) - 1) < 1e-9
-    for b in (bits, short):
+    many = np.ones(70_000, np.int64)  # more ids than 16 bits tell apart
+    many[:10] = 10_000
+    for b in (bits, short, token_files.code_lengths(many)):
         ids = rng.choice(np.flatnonzero(b), 5000)
         payload, marks = token_files.encode_ids(ids, token_files.canonical_codes(b), b)
         more, marks2 = token_files.encode_ids(ids[:300], token_files.canonical_codes(b), b)
