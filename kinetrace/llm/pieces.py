@@ -4,8 +4,8 @@ The pieces that cover a word form a lattice. Forward filtering sums the weights
 segmentation from its end, each with its posterior probability. The draws depend on the seed, the row's key and the place in the row alone, so
 any executor gives the same segmentation of a row again.
 
-Pieces never reach across the start of a run of spaces or a line feed, so lattices are those of words; each distinct word is filtered once while it is
-remembered, and all its occurrences are sampled together.
+Pieces never reach across the start of a run of spaces, a line feed, or the place between a letter and a mark that no piece has behind a letter, so
+lattices are those of words; each distinct word is filtered once while it is remembered, and all its occurrences are sampled together.
 """
 
 from __future__ import annotations
@@ -16,20 +16,22 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinetrace.llm.words import mix
-from kinetrace.llm.workspace import cached, working_on
+from kinetrace.llm.workspace import cached, runs, working_on
 from kinetrace.session import table
 
 SPACE = "▁"
-WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+#: Marks that part words from what follows if no piece of the model holds one behind a letter or digit.
+MARKS = ".,;:!?)"
 #: Words that a Python worker remembers, code points that are sampled together, extra cost (in nats) of a byte piece.
-CACHE_WORDS, RUN, BYTE_COST = 100_000, 400_000, 12.0
+CACHE_WORDS, RUN, BYTE_COST = 200_000, 400_000, 12.0
 #: Piece of rank r has weight -ln(r + RANK_OFFSET) - ln(H), where H makes these weights a distribution.
 RANK_OFFSET = 20.0
 #: Exponent of the weights: over 1 favours likely segmentations, 0 makes all alike.
@@ -72,6 +74,9 @@ class PieceSampler:
             ranks = np.argsort(np.argsort(-scores, kind="stable"), kind="stable")
             scores = -np.log(ranks + RANK_OFFSET)
             scores -= np.log(np.exp(scores).sum())
+        behind = {b for t in text.values() for a, b in zip(t, t[1:], strict=False) if a.isalnum()}
+        marks = "".join(m for m in MARKS if m not in behind)
+        self.word = re.compile((rf" *[^\W_]++(?=[{re.escape(marks)}])|" if marks else "") + r" +[^ \n]*|[^ \n]+|\n")
         self.pieces = {text[i]: (i, sharpness * float(s)) for i, s in zip(plain, scores, strict=True)}
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_cost, self.longest = sharpness * BYTE_COST, max(map(len, self.pieces))
@@ -129,7 +134,8 @@ class PieceSampler:
                 pieces.append(-codes[odd].astype(np.int64) - 1)
                 weights.append(-self.byte_cost * wide)
         start, end, piece, weight = (np.concatenate(x) for x in (starts, ends, pieces, weights))
-        order = np.lexsort((start, end, place[end]))
+        spread = self.longest + 1  # one integer sorts an edge by the place of its end, its end and its start
+        order = np.argsort((place[end] * n + end) * spread + start - end)
         start, end, piece, weight = start[order], end[order], piece[order], weight[order]
         share, reach = np.empty(len(order)), np.zeros(n + 1)
         head = place[start] == 0
@@ -143,7 +149,7 @@ class PieceSampler:
             total = np.add.reduceat(ways, nodes)
             reach[end[a:b][nodes]] = top + np.log(total)
             share[a:b] = ways / np.repeat(total, many)
-        order = np.lexsort((start, end))
+        order = np.argsort(end * spread + start - end)
         start, end, piece, share = start[order], end[order], piece[order], share[order]
         nodes = np.flatnonzero(np.diff(end, prepend=-1))
         last = np.append(nodes[1:], len(end)) - 1
@@ -192,7 +198,7 @@ class PieceSampler:
             self._forget()
         words, counts = [], []
         for text in texts:
-            own = WORD.findall(" " + text) if text else []
+            own = self.word.findall(" " + text) if text else []
             words += own
             counts.append(len(own))
         new = set(words).difference(self.words)
@@ -269,9 +275,9 @@ def load(path: str, sharpness: float = SHARPNESS) -> PieceSampler:
 cached(_loaded.clear)
 
 
-def row_keys(column: pd.Series, seed: int) -> np.ndarray:
-    """64 bits for each key's text, whatever type a batch holds it in; a null is a key of its own."""
-    named = ("" if k is None or k != k else str(int(k)) if isinstance(k, float) else str(k) for k in column.tolist())
+def row_keys(column: pa.Array, seed: int) -> np.ndarray:
+    """64 bits for each key's text; a null is a key of its own."""
+    named = ("" if k is None else str(k) for k in column.to_pylist())
     return np.array([xxhash.xxh3_64_intdigest(k.encode(), seed=seed) for k in named], np.uint64)
 
 
@@ -282,52 +288,55 @@ def encode_pieces(docs: DataFrame, model_path: str, key_col: str = "doc_id", tex
     Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(key_col).alias("_key"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    kind = dict(rows.dtypes)["_key"]
+    schema = T.StructType([*rows.schema.fields, T.StructField("pieces", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = load(model_path, sharpness)
         for batch in batches:
-            yield pd.DataFrame({"_key": batch["_key"], "_text": batch["_text"], "pieces": sampler.encode(batch["_text"].tolist(), row_keys(batch["_key"], seed))})
+            for run in runs(batch, "_text", RUN):
+                packed = sampler.encode(run.column("_text").to_pylist(), row_keys(run.column("_key"), seed))
+                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(packed, arrow.field("pieces").type)], schema=arrow)
 
-    out = rows.mapInPandas(encode, f"_key {kind}, _text string, pieces binary")
+    out = rows.mapInArrow(encode, schema)
     return out.select(F.col("_key").alias(key_col), F.col("_text").alias(text_col), "pieces")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, pieces_col: str = "pieces", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids in ``out_col``; a column of that name is replaced, null ids give null."""
     rows = encoded.drop(out_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
+    arrow = to_arrow_schema(schema)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = load(model_path)
         for batch in batches:
-            held = batch[pieces_col]
-            texts = iter(sampler.decode([p for p in held if p is not None]))
-            batch[out_col] = [None if p is None else next(texts) for p in held]
-            yield batch
+            for run in runs(batch, pieces_col, 2 * RUN):
+                held = run.column(pieces_col).to_pylist()
+                texts = iter(sampler.decode([p for p in held if p is not None]))
+                decoded = pa.array([None if p is None else next(texts) for p in held], arrow.field(out_col).type)
+                yield pa.RecordBatch.from_arrays([*run.columns, decoded], schema=arrow)
 
-    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
-    return rows.mapInPandas(decode, schema)
+    return rows.mapInArrow(decode, schema)
 
 
 def encode_and_verify(docs: DataFrame, model_path: str, key_col: str = "doc_id", text_col: str = "text", seed: int = 0, sharpness: float = SHARPNESS) -> DataFrame:
     """``key_col, pieces, decoded, lossless``: as encoding and then decoding, in one pass with one Python worker, a run of texts at a time."""
     rows = docs.select(F.col(key_col).alias("_key"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    kind = dict(rows.dtypes)["_key"]
+    schema = T.StructType([rows.schema["_key"], *T.StructType.fromDDL("pieces binary, decoded string, lossless boolean").fields])
+    arrow = to_arrow_schema(schema)
 
-    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = load(model_path, sharpness)
         for batch in batches:
-            texts, keys, a = batch["_text"].tolist(), row_keys(batch["_key"], seed), 0
-            while a < len(texts):
-                b, n = a, 0
-                while b < len(texts) and n < RUN:
-                    n, b = n + len(texts[b]), b + 1
-                packed = sampler.encode(texts[a:b], keys[a:b])
+            for run in runs(batch, "_text", RUN):
+                texts = run.column("_text").to_pylist()
+                packed = sampler.encode(texts, row_keys(run.column("_key"), seed))
                 decoded = sampler.decode(packed)
-                yield pd.DataFrame({"_key": batch["_key"].iloc[a:b].to_numpy(), "pieces": packed, "decoded": decoded, "lossless": [x == y for x, y in zip(decoded, texts[a:b], strict=True)]})
-                a = b
+                columns = [packed, decoded, [x == y for x, y in zip(decoded, texts, strict=True)]]
+                yield pa.RecordBatch.from_arrays([run.column("_key"), *(pa.array(c, arrow.field(k + 1).type) for k, c in enumerate(columns))], schema=arrow)
 
-    return rows.mapInPandas(both, f"_key {kind}, pieces binary, decoded string, lossless boolean").withColumnRenamed("_key", key_col)
+    return rows.mapInArrow(both, schema).withColumnRenamed("_key", key_col)
 
 
 def op8_sampled_pieces(spark, sf_dir: str) -> DataFrame:
