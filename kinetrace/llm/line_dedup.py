@@ -2,8 +2,9 @@
 
 Lines within ``EDITS`` edits of one another agree on one of ``EDITS + 1`` segments, at a place that differs by few characters. Every line
 is indexed under its segments and probes those of lines up to ``EDITS`` characters shorter, only at the starts that an
-alignment within the threshold allows. What meets is filtered by letter counts within the join and then verified with
-a banded bit-parallel edit distance.
+alignment within the threshold allows. Lines that meet under a segment that many lines have are not paired there: what is left of them
+beside the segment is split into segments again, within the edits that are left, so that they meet only if they agree on more of
+the line. What meets is verified with a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -13,46 +14,78 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.workspace import materialise, row_count
+from kinetrace.llm.workspace import materialise, release, row_count
 from kinetrace.session import table
 
 #: Edits allowed between lines of one class; shorter lines are always kept.
 EDITS, MIN_CHARS = 2, 20
-#: Letters whose counts, modulo 16, go along with a line's keys; an edit changes at most two of them by one.
+#: Letters whose counts are compared before lines are; an edit changes at most two of them by one.
 COUNTED = "entairos"
-#: Rows that are sent to all executors; with more, both sides are shuffled.
-SENT_ROWS = 2_000_000
+#: Bytes that are sent to all executors; with more, both sides are shuffled.
+SENT_BYTES = 48 << 20
+#: Lines of one length with one segment from which on they meet under more of the line only, and how often that is split again.
+HOT_LINES, LEVELS = 24, 4
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if row_count(df) <= SENT_ROWS else df
+def _sent(df: DataFrame, size: Column | int) -> DataFrame:
+    """``df`` for all executors if its rows, of ``size`` bytes each, are few."""
+    held = df.agg(F.sum(F.lit(size) if isinstance(size, int) else size)).first()[0] or 0
+    return F.broadcast(df) if held <= SENT_BYTES else df
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """First character (from 1) and size of segment ``i`` (from 0) of a line; the last ``length % parts`` are one longer."""
+def _wide(line: Column) -> Column:
+    """Four bytes for each code point, so that places need no counting."""
+    return F.encode(line, "UTF-32")
+
+
+def _cut(wide: Column, first: Column | int, chars: Column) -> Column:
+    """``chars`` code points from place ``first`` (from 0); places outside of the line give what is inside."""
+    first = F.lit(first) if isinstance(first, int) else first
+    return F.when((chars <= 0) | (first < 0), F.lit(b"")).otherwise(F.substring(wide, (first * 4 + 1).cast("int"), (chars * 4).cast("int")))
+
+
+def _segment(length: Column, i: Column | int, parts: int) -> tuple[Column, Column]:
+    """First place (from 0) and size of segment ``i`` (from 0) of a line; the last ``length % parts`` are one longer."""
+    i = F.lit(i) if isinstance(i, int) else i
     short = F.floor(length / F.lit(parts))
     longer = parts - length % parts
-    return (i * short + F.greatest(F.lit(0), F.lit(i) - longer) + 1).cast("int"), (short + (F.lit(i) >= longer).cast("int")).cast("int")
+    return (i * short + F.greatest(F.lit(0), i - longer)).cast("int"), (short + (i >= longer).cast("int")).cast("int")
+
 
+def _places(edits: int, least: int) -> list[tuple[int, int, int]]:
+    """(how many characters shorter the indexed line is, segment, shift) that a probe looks up: some segment agrees that has at most as many edits
+    before it as segments, and the rest of the edits behind it. Those of a line's own segments come first."""
+    found = [(shorter, i, shift) for shorter in range(least, edits + 1) for i in range(edits + 1) for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)]
+    return sorted(found, key=lambda x: (x[0] != 0 or x[2] != 0, x))
 
-def _key(line: Column, length: Column, shorter: int, i: int, shift: int, parts: int) -> Column:
-    start, size = _segment(length - shorter, i, parts)
-    return F.xxhash64(length - shorter, F.lit(i), F.substring(line, start + shift, size))
 
+def _keys(wide: Column, n: Column, edits: int, places: list[tuple[int, int, int]]) -> Column:
+    out = []
+    for shorter, i, shift in places:
+        start, size = _segment(n - shorter, i, edits + 1)
+        out.append(F.xxhash64(n - shorter, F.lit(i), _cut(wide, start + shift, size)))
+    return F.array(*out)
 
-def index_keys(line: Column, n: Column, edits: int) -> Column:
-    return F.array(*[_key(line, n, 0, i, 0, edits + 1) for i in range(edits + 1)])
 
+def _level(rows: DataFrame, edits: int, places: list[tuple[int, int, int]], is_index: bool) -> DataFrame:
+    """(_id, _index, _same, _key, _rest, _left) for each of the places of rows (_id, _w) or (_id, _w, _group).
 
-def probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the other places where a segment of a line that is ``shorter`` characters shorter, or as long, can lie."""
-    keys = []
-    for shorter in range(edits + 1):
-        for i in range(edits + 1):
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                if shorter or shift:
-                    keys.append(_key(line, n, shorter, i, shift, edits + 1))
-    return F.array(*keys)
+    _rest is what is left of a line beside the segment, what follows it or else what is before the last one, and _left the edits that are left for that.
+    """
+    told = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(place, "hik", strict=True)]) for place in places])
+    group = ["_group"] if "_group" in rows.columns else []
+    rows = rows.withColumn("_n", (F.octet_length("_w") / 4).cast("int")).select("_id", "_w", "_n", *group, F.explode(told).alias("_p"))
+    n, i = F.col("_n"), F.col("_p.i")
+    start, size = _segment(n - F.col("_p.h"), i, edits + 1)
+    rows = rows.select("_id", "_w", "_n", "_p", *group, (start + F.col("_p.k")).alias("_at"), size.alias("_size"))
+    last, at, size = i == edits, F.col("_at"), F.col("_size")
+    same = (F.col("_p.h") == 0) & (F.col("_p.k") == 0) if not group else F.lit(False)
+    rest = F.when(last, _cut(F.col("_w"), 0, at)).otherwise(_cut(F.col("_w"), at + size, n - at - size))
+    return rows.select("_id", F.lit(is_index).alias("_index"), same.alias("_same"), F.xxhash64(*group, n - F.col("_p.h"), i, _cut(F.col("_w"), at, size)).alias("_key"), rest.alias("_rest"), F.when(last, edits).otherwise(edits - i).alias("_left"))
+
+
+def _own(edits: int) -> list[tuple[int, int, int]]:
+    return [(0, i, 0) for i in range(edits + 1)]
 
 
 def _once(value: Column, body) -> Column:
@@ -60,16 +93,15 @@ def _once(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def line_code(line: Column, n: Column) -> Column:
-    """64 bits for a line: half a hash, half letter counts."""
-    counts = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15)), 4 * k) for k, c in enumerate(COUNTED)])
-    return F.shiftleft(F.xxhash64(line), 32).bitwiseOR(counts)
+def letter_counts(line: Column, n: Column) -> Column:
+    """The counts of some letters, modulo 256, in 64 bits."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)), 8 * k) for k, c in enumerate(COUNTED)])
 
 
 def _counts_near(a: Column, b: Column, edits: int) -> Column:
     def gap(k: int) -> Column:
-        d = F.pmod(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)), F.lit(16))
-        return F.least(d, 16 - d)
+        d = F.pmod(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255)), F.lit(256))
+        return F.least(d, 256 - d)
 
     return reduce(lambda x, y: x + y, [gap(k) for k in range(len(COUNTED))]) <= 2 * edits
 
@@ -137,40 +169,93 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("_d", F.xxhash64("_text").alias("_t"), F.posexplode(F.split("_text", "\n")).alias("_p", "_line"))
 
 
-def _without(docs_lines: DataFrame, removed: DataFrame) -> DataFrame:
-    return docs_lines.join(_sent(removed), ["_d", "_t", "_p"], "left_anti")
+def _equal_lines(lines: DataFrame) -> DataFrame:
+    """The places (_d, _t, _p) of lines whose content comes earlier."""
+    place = F.struct("_d", "_t", "_p")
+    hashed = lines.select("_d", "_t", "_p", F.xxhash64("_line").alias("_h"), "_line")
+    often = materialise(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"), "line-hashes")
+    again = materialise(hashed.join(_sent(often, 16), "_h", "left_semi"), "lines-again")
+    first = materialise(again.groupBy("_line").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_line", "_first"), "lines-first")
+    equal = again.join(_sent(first, F.octet_length("_line") + 48), "_line").filter(place != F.col("_first")).select("_d", "_t", "_p").distinct()
+    equal = materialise(equal, "equal-lines")
+    release(again)
+    return equal
+
+
+def _texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(_id, _line, _place): the lines of these hashes and where each comes first."""
+    held = lines.withColumn("_id", F.xxhash64("_line")).join(_sent(ids, 16), "_id", "left_semi")
+    return held.groupBy("_id", "_line").agg(F.min(F.struct("_d", "_t", "_p")).alias("_place"))
+
+
+def _meet(index: DataFrame, probe: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Pairs (_a, _b) of lines that meet under a key which is not hot."""
+    if hot is not None:
+        index, probe = (x.join(_sent(hot, 16), "_key", "left_anti") for x in (index, probe))
+    met = index.join(probe.withColumnRenamed("_id", "_id2"), "_key").filter(F.when(F.col("_same"), F.col("_id") < F.col("_id2")).otherwise(F.col("_id") != F.col("_id2")))
+    return met.select(F.least("_id", "_id2").alias("_a"), F.greatest("_id", "_id2").alias("_b")).distinct()
+
+
+def _hot(index: DataFrame) -> DataFrame:
+    return index.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_LINES).select("_key")
+
+
+def _candidates(lines: DataFrame, own: DataFrame, edits: int) -> DataFrame:
+    """Pairs (_a, _b) of hashes of lines that may be within ``edits`` edits; own holds each line once."""
+    wide = own.select(F.xxhash64("_line").alias("_id"), _wide(F.col("_line")).alias("_w")).withColumn("_n", (F.octet_length("_w") / 4).cast("int"))
+    first = _places(edits, 0)
+    index = wide.select("_id", F.explode(_keys(F.col("_w"), F.col("_n"), edits, _own(edits))).alias("_key"))
+    probe = wide.select("_id", F.posexplode(_keys(F.col("_w"), F.col("_n"), edits, first)).alias("_at", "_key")).select("_id", "_key", (F.col("_at") <= edits).alias("_same"))
+    hot = materialise(_hot(index), "line-hot")
+    cold = index.join(_sent(hot, 16), "_key", "left_anti").unionByName(hot.select(F.lit(None).cast("long").alias("_id"), "_key"))
+    # lines that meet under cold keys, and in the same pass the lines that have hot ones
+    met = cold.join(probe.withColumnRenamed("_id", "_id2"), "_key").filter(F.col("_id").isNull() | F.when(F.col("_same"), F.col("_id") < F.col("_id2")).otherwise(F.col("_id") != F.col("_id2")))
+    met = materialise(met.select(F.when(F.col("_id").isNotNull(), F.least("_id", "_id2")).alias("_a"), F.greatest("_id", "_id2").alias("_b")).distinct(), "line-met")
+    found = met.filter("_a is not null")
+    if not row_count(hot):
+        return found
+
+    # from here on rows carry what is left of their lines beside the hot segments
+    met = met.filter("_a is null").select(F.col("_b").alias("_id"))
+    texts = materialise(_texts_of(lines, met).select("_id", _wide(F.col("_line")).alias("_w")), "line-met-texts")
+    rows = _level(texts, edits, _own(edits), True).union(_level(texts, edits, first, False))
+    for depth in range(LEVELS):
+        rows = materialise(rows.join(_sent(hot, 16), "_key", "left_semi"), f"line-rests-{depth}")
+        # the rests of a group are as long as one another but for the edits; short ones are paired
+        again = rows.groupBy("_key").agg(F.min(F.octet_length("_rest")).alias("_size"), F.max("_left").alias("_e")).filter(F.col("_size") >= 4 * 6 * (F.col("_e") + 1)).select("_key")
+        again = materialise(again, f"line-split-{depth}")
+        done = rows.join(_sent(again, 16), "_key", "left_anti")
+        found = found.union(materialise(_meet(done.filter("_index").select("_key", "_id"), done.filter("not _index").select("_key", "_id", "_same"), None), f"line-short-{depth}"))
+        held = rows
+        rows = rows.join(_sent(again, 16), "_key", "left_semi").select("_id", "_index", "_left", F.col("_key").alias("_group"), F.col("_rest").alias("_w"))
+        parts = []
+        for e in range(1, edits + 1):
+            some = rows.filter(F.col("_left") == e)
+            parts += [_level(some.filter("_index"), e, _own(e), True), _level(some.filter("not _index"), e, _places(e, -e), False)]
+        before, rows = held, materialise(reduce(DataFrame.union, parts), f"line-keys-{depth}")
+        index, probe = rows.filter("_index").select("_key", "_id").distinct(), rows.filter("not _index").select("_key", "_id", F.lit(False).alias("_same")).distinct()
+        hot = materialise(_hot(index), f"line-hot-{depth}")
+        last = depth == LEVELS - 1 or not row_count(hot)
+        found = found.union(materialise(_meet(index, probe, None if last else hot), f"line-found-{depth}"))
+        release(before)
+        if last:
+            release(rows)
+            break
+    return materialise(found.distinct(), "line-pairs")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(removed, links): places (_d, _t, _p) of lines that repeat an earlier one, and the links (earlier, later place) between lines that differ."""
     lines = _lines(docs, id_col, text_col).filter(F.length("_line") >= min_chars)
-    place = F.struct("_d", "_t", "_p")
-    seen = lines.select("_d", "_t", "_p", F.xxhash64("_line").alias("_h"), F.xxhash64("_line", F.lit("more")).alias("_g"))
-    first = seen.groupBy("_h", "_g").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h", "_g", "_first")
-    equal = materialise(seen.join(first, ["_h", "_g"]).filter(place != F.col("_first")).select("_d", "_t", "_p").distinct(), "equal-lines")
-
-    own = _without(lines, equal).withColumn("_n", F.length("_line"))
-    keyed = own.select("_d", "_t", "_p", line_code(F.col("_line"), F.col("_n")).alias("_code"), index_keys(F.col("_line"), F.col("_n"), edits).alias("_index"), probe_keys(F.col("_line"), F.col("_n"), edits).alias("_probe"))
-    keyed = materialise(keyed, "line-keys")
-    index = keyed.select("_code", "_index", F.posexplode("_index").alias("_at", "_key")).select("_code", "_key", F.slice("_index", F.lit(1), F.col("_at")).alias("_before"))
-    probe = keyed.select(F.col("_code").alias("_code2"), "_index", F.posexplode(F.concat("_index", "_probe")).alias("_at", "_key"))
-    none = F.array().cast("array<long>")
-    probe = probe.select("_code2", "_key", "_at", F.when(F.col("_at") <= edits, F.slice("_index", F.lit(1), F.col("_at"))).otherwise(none).alias("_before2"))
-    # two lines that meet under their own segments would meet again the other way round, and under each later segment that they share
-    once = F.when(F.col("_at") <= edits, F.col("_code") < F.col("_code2")).otherwise(F.col("_code") != F.col("_code2"))
-    met = index.join(probe, "_key").filter(once & _counts_near(F.col("_code"), F.col("_code2"), edits) & ~F.arrays_overlap("_before", "_before2"))
-    pairs = materialise(met.select(F.least("_code", "_code2").alias("_a"), F.greatest("_code", "_code2").alias("_b")).distinct(), "line-pairs")
-    codes = materialise(pairs.select(F.col("_a").alias("_code")).union(pairs.select("_b")).distinct(), "line-codes")
-
-    # the texts of lines that are in a pair, by their places
-    wanted = materialise(keyed.join(_sent(codes), "_code").select("_code", "_d", "_t", "_p"), "line-places")
-    held = wanted.groupBy("_d", "_t").agg(F.collect_list(F.struct("_p", "_code")).alias("_at"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_d"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
-    split = rows.join(_sent(held), ["_d", "_t"]).select("_d", "_t", "_at", F.split("_text", "\n").alias("_lines"))
-    texts = split.select("_d", "_t", F.explode(F.transform("_at", lambda x: F.struct(x["_p"].alias("_p"), x["_code"].alias("_code"), F.get("_lines", x["_p"]).alias("_line")))).alias("_x"))
-    texts = materialise(texts.select(F.col("_x._code").alias("_code"), F.struct("_d", "_t", F.col("_x._p").alias("_p")).alias("_place"), F.col("_x._line").alias("_line")).distinct(), "line-texts")
-    side = lambda c, s: texts.select(F.col("_code").alias(c), F.col("_place").alias(f"_place{s}"), F.col("_line").alias(f"_line{s}"))
-    paired = materialise(pairs.join(side("_a", 1), "_a").join(side("_b", 2), "_b").select("_place1", "_place2", "_line1", "_line2"), "line-candidates")
+    equal = _equal_lines(lines)
+    own = lines.join(_sent(equal, 32), ["_d", "_t", "_p"], "left_anti")
+    pairs = _candidates(lines, own, edits)
+
+    ids = materialise(pairs.select(F.col("_a").alias("_id")).union(pairs.select("_b")).distinct(), "line-ids")
+    texts = materialise(_texts_of(lines, ids).withColumn("_c", letter_counts(F.col("_line"), F.length("_line"))), "line-texts")
+    side = lambda c, s: texts.select(F.col("_id").alias(c), F.col("_place").alias(f"_place{s}"), F.col("_line").alias(f"_line{s}"), F.col("_c").alias(f"_c{s}"))
+    paired = pairs.join(side("_a", 1), "_a").join(side("_b", 2), "_b").filter((F.abs(F.length("_line1") - F.length("_line2")) <= edits) & _counts_near(F.col("_c1"), F.col("_c2"), edits))
+    paired = materialise(paired.select("_place1", "_place2", "_line1", "_line2"), "line-candidates")
     # verifying is heavy and its rows are few: they are dealt anew, some hundred to a task
     dealt = paired.repartition(max(1, min(row_count(paired) // 200, 20_000)), F.xxhash64("_place1", "_place2"))
     near = dealt.filter(within_edits_trimmed(F.col("_line1"), F.col("_line2"), edits))
@@ -184,7 +269,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at a line feed. A line of at least ``min_chars`` code points goes if the same line, or one within ``edits`` edits,
     comes earlier, in the order of document id and position; null ids come first. Shorter lines stay. ``n_lines`` counts the lines
     before, ``n_links`` the links to different lines that the document's lines take part in. A null text stays null and counts as one empty line.
-    Rows that repeat an id with the same text are one document and all of them keep its lines. Columns named like a result column are replaced.
+    Rows that repeat an id with the same text are one document and all of them keep its lines. ``id_col`` holds integers. A column of ``docs`` that is
+    named like a result column is replaced; all others are returned as they are, whatever their names.
     """
     removed, links = repeated_lines(docs, id_col, text_col, edits, min_chars)
     removed = materialise(removed, "removed-lines")
@@ -192,13 +278,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = links.select(F.col("earlier._d").alias("_d"), F.col("earlier._t").alias("_t")).union(links.select("later._d", "later._t"))
     marks = materialise(gone.join(ends.groupBy("_d", "_t").agg(F.count(F.lit(1)).alias("_links")), ["_d", "_t"], "full"), "line-marks")
     rows = docs.drop("n_lines", "n_removed", "n_links")
-    rows = rows.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_t", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    rows = rows.join(_sent(marks), ["_d", "_t"], "left")
-    lines = F.split(F.col(text_col), "\n")
+    # the columns of the documents travel in one of their own, so that none can clash
+    kept = F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{k}") for k, c in enumerate(rows.columns)]).alias("_row")
+    rows = rows.select(kept, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_d"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_t"))
+    rows = rows.join(_sent(marks, 40 + 4 * F.greatest(F.lit(0), F.coalesce(F.size("_gone"), F.lit(0)))), ["_d", "_t"], "left")
+    lines = F.split("_text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = rows.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(1))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0))).withColumn("n_links", F.coalesce("_links", F.lit(0).cast("long")))
-    out = out.withColumn("n_lines", F.greatest("n_lines", F.lit(1))).withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).drop("_d", "_t", "_gone", "_links")
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(left)
+    own = [text.alias(c) if c == text_col else F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.drop("n_lines", "n_removed", "n_links").columns)]
+    count = lambda c, least: F.greatest(F.coalesce(c, F.lit(least)), F.lit(least))
+    return rows.select(*own, count(F.size(lines), 1).alias("n_lines"), count(F.size("_gone"), 0).alias("n_removed"), F.coalesce("_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

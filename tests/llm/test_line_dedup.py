@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from kinetrace.llm import line_dedup
 from kinetrace.llm.line_dedup import dedup_lines, within_edits, within_edits_trimmed
 
 DOCS = "doc_id long, text string, n_lines string, n_links int, _p int"
@@ -59,7 +60,40 @@ def test_same_lines_go_as_by_brute_force(spark):
     assert {r.doc_id: r.text for r in got} == want
     text = {r[0]: r[1] or "" for r in rows}
     assert all(r.n_lines == text[r.doc_id].count("\n") + 1 for r in got)
-    assert sum(r.n_removed for r in got) > 20 and sum(r.n_links for r in got) > 0
+    assert sum(r.n_removed for r in got) > 20 and {r.doc_id: r.n_links for r in got} == brute_links(rows, 2, 20)
+
+
+def brute_links(rows, edits, min_chars):
+    """Links to other lines of the documents where each distinct line comes first."""
+    first = {}
+    for doc, text, *_ in sorted(rows):
+        for line in (text or "").split("\n"):
+            if len(line) >= min_chars:
+                first.setdefault(line, doc)
+    out = dict.fromkeys((r[0] for r in rows), 0)
+    held = list(first)
+    for k, a in enumerate(held):
+        for b in held[:k]:
+            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+                out[first[a]] += 1
+                out[first[b]] += 1
+    return out
+
+
+def test_variants_of_one_line_meet_under_more_than_a_segment(spark, monkeypatch):
+    rng = random.Random(2)
+    line = "".join(rng.choice("abcdefgé tn") for _ in range(150))
+    rows = [(k, mutate(rng, line, rng.randrange(9)), "x", 1, 2) for k in range(50)] + [(500 + k, mutate(rng, line[:70], rng.randrange(3)), "x", 1, 2) for k in range(20)]
+    for hot in (3,):
+        monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
+        got = dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+        assert {r.doc_id: r.text for r in got} == brute(rows, 2, 20) and {r.doc_id: r.n_links for r in got} == brute_links(rows, 2, 20)
+
+
+def test_columns_of_any_name_are_returned(spark):
+    docs = spark.createDataFrame([(1, "x", "d", "t", "g", "l", "r", "dot")], "doc_id long, text string, _d string, _t string, _gone string, _links string, _row string, `a.b` string")
+    got = dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed", "n_links"] and got.first()[:8] == (1, "x", "d", "t", "g", "l", "r", "dot")
 
 
 def test_repeated_null_and_no_rows(spark):
