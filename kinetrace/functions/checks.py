@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetrace.functions.text import prompt_direction
 from kinetrace.functions.vectors import finite, within
 
 # Size of an image, modes of a plan, settings of a schedule with their ranges.
 WIDTH, HEIGHT = 640, 480
-PLAN_MODES = ("custom", "single", "dual_separate")
+PLAN_MODES = ("custom", "single", "dual_continuous", "dual_separate")
 WHOLE_SETTINGS = {"trigger_index": (1, 49), "delay_initial_steps": (0, 24), "safety_reserve_steps": (0, 49), "num_denoising_steps": (1, 50), "delay_window": (1, 1000), "delay_margin_steps": (0, 49), "dry_run_chunks": (2, 20)}
 REAL_SETTINGS = {"max_guidance_weight": (0.0, 5.0), "max_observation_age_s": (0.0, 2.0), "warmup_timeout_s": (0.0, 600.0)}
 
@@ -45,6 +46,9 @@ def plan_errors(mode: Column, execution: Column, hand: Column, prompt: Column, r
         "hand not accepted": (m != "single") & h.isNotNull(),
         "right prompt needed": (m == "dual_separate") & right_prompt.isNull(),
         "right prompt not accepted": (m != "dual_separate") & right_prompt.isNotNull(),
+        "right prompt": F.trim(right_prompt) == "",
+        "prompt and hand": (m == "single") & ~prompt_direction(prompt).eqNullSafe(h),
+        "left and then right": (m == "dual_separate") & ~(prompt_direction(prompt).eqNullSafe(F.lit("left")) & prompt_direction(right_prompt).eqNullSafe(F.lit("right"))),
     }
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
 

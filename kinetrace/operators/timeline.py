@@ -8,8 +8,6 @@ from pyspark.sql.window import Window
 
 from kinetrace.functions.clock import unit_divisor
 
-#: Rows of one resampled episode.
-MOST_FRAMES = 200_000
 
 
 def control_rate(*candidates: Column, default: float = 30.0) -> Column:
@@ -59,17 +57,19 @@ def segments(rows: DataFrame, by: list[str], order: list[str], t: str, values: l
     return single.select(*by, t, *values, F.lead(t).over(w).alias("_next_t"), *ahead, F.min(t).over(whole).alias("_start"), F.max(t).over(whole).alias("_end"))
 
 
-def resample(rows: DataFrame, by: list[str], order: list[str], t: str, hold: list[str], linear: list[str], rate: float, most_frames: int = MOST_FRAMES) -> DataFrame:
+def resample(rows: DataFrame, by: list[str], order: list[str], t: str, hold: list[str], linear: list[str], rate: float, most_frames: int | None = None) -> DataFrame:
     """Each episode on a grid of ``max(1, round(duration * rate))`` equal steps: ``by, step, grid_t``, held and interpolated values.
 
     Every segment makes the grid points that lie in it, so the as-of lookup needs no join: one shuffle and sort by episode. The first and last points
-    are the first and last rows. A single row is one point. Episodes with more than ``most_frames`` points give none.
+    are the first and last rows. A single row is one point. Episodes of any length are gridded; with ``most_frames``, one that has more points ends the query with an error.
     """
     seg = segments(rows, by, order, t, [*hold, *linear])
     duration = F.col("_end") - F.col("_start")
     # half to even, at least one step
     steps = F.greatest(F.lit(1).cast("long"), F.bround(duration * F.lit(float(rate)), 0).cast("long"))
-    seg = seg.withColumn("_steps", F.when(duration > 0, steps).otherwise(F.lit(0).cast("long"))).filter(F.col("_steps") + 1 <= most_frames)
+    seg = seg.withColumn("_steps", F.when(duration > 0, steps).otherwise(F.lit(0).cast("long")))
+    if most_frames is not None:
+        seg = seg.withColumn("_steps", F.when(F.col("_steps") + 1 > most_frames, F.raise_error(F.lit(f"an episode has more than {most_frames} frames")).cast("long")).otherwise(F.col("_steps")))
     at = lambda i: F.col("_start") + i * (duration / F.greatest(F.col("_steps"), F.lit(1)))
     guess = lambda x: F.floor((x - F.col("_start")) / duration * F.col("_steps")).cast("long")
     # candidates around the segment's bounds are filtered by the grid times themselves, so rounding cannot lose or repeat one

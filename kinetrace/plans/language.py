@@ -20,7 +20,7 @@ def keyword_flags(spark, sf_dir):
 
 def text_speakable(spark, sf_dir):
     """Whole texts without what a voice should not read, as length and digest."""
-    s = text.speakable(F.coalesce("text", F.lit("")))
+    s = text.speakable(F.coalesce("text", F.lit("")), references=True)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(s).cast("long").alias("n"), F.md5(s).alias("digest"))
 
 
@@ -86,8 +86,8 @@ HINTS = "[" + ", ".join("'" + h + "'" for h in text.HINTS) + "]"
 C = "c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, text FROM conversations)"
 PLAIN = f"trim(translate(regexp_replace(replace(lower(trim(t, chr(9) || chr(10) || chr(13) || ' ')), '{text.NAME}', ''), '{SPACES}+', ' ', 'g'), '{QUOTED}', ''))"
 ORACLES = {
-    "language_route": r"""WITH n AS (SELECT doc_id, lang, len(regexp_extract_all(coalesce(text, ''), '[\x{4e00}-\x{9fff}]')) AS h, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS l FROM documents)
-SELECT doc_id, CASE WHEN h > 0 AND h >= greatest(1, l // 3) THEN 'zh' ELSE 'en' END AS route, CASE WHEN lower(lang) IN ('zh', 'cn') THEN 'zh' WHEN lower(lang) = 'en' THEN 'en' ELSE 'auto' END AS tag FROM n""",
+    "language_route": r"""WITH n AS (SELECT doc_id, lang, len(regexp_extract_all(coalesce(text, ''), '[\x{3400}-\x{9fff}]')) AS h, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS l FROM documents)
+SELECT doc_id, CASE WHEN h > 0 AND h >= greatest(1, l // 3) THEN 'zh' ELSE 'en' END AS route, CASE WHEN coalesce(lang, '') = '' OR split_part(replace(lower(trim(lang)), '_', '-'), '-', 1) = 'zh' THEN 'zh' WHEN split_part(replace(lower(trim(lang)), '_', '-'), '-', 1) = 'en' THEN 'en' END AS tag FROM n""",
     "keyword_flags": f"""WITH {C}, p AS (SELECT conv_id, turn, t, {PLAIN} AS p, list_distinct(list_transform(regexp_extract_all(t, '(?i)\\b(left|right)\\b'), lambda x: lower(x))) AS d FROM c)
 SELECT conv_id, turn, len(list_filter({HINTS}, lambda h: contains(p, h))) > 0 AS motion, len(list_filter({list(text.GOODBYES)}, lambda g: contains(lower(regexp_replace(t, '[\\s\\x{{3000}}，。！？,.!?]', '', 'g')), g))) > 0 AS goodbye, CASE WHEN len(d) = 1 THEN d[1] END AS direction FROM p""",
     "text_corrections": f"WITH {C} SELECT conv_id, turn, md5(replace(replace(replace(t, 'the', 'this'), 'this ', 'that '), 'of', 'from')) AS digest, text[1:24] AS start FROM c",

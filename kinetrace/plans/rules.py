@@ -19,7 +19,8 @@ def image_checks(spark, sf_dir):
 def plan_checks(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     pick = lambda n, *values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("event_id") % n).cast("int"))
-    errors = checks.plan_errors(pick(4, "custom", "single", "dual_separate", "odd"), pick(3, "arms", "full", "arms_lift"), pick(5, "left", "right", None, "up", None), F.col("event_type"), pick(2, None, "x"))
+    prompt, right = pick(4, "use the left hand", "right: pick", "left or right", " "), pick(3, None, "the right one", "  ")
+    errors = checks.plan_errors(pick(7, "custom", "single", "dual_separate", "odd", "dual_continuous", "single", "dual_separate"), pick(3, "arms", "full", "arms_lift"), pick(5, "left", "right", None, "up", None), prompt, right)
     return e.select("event_id", F.array_join(errors, ";").alias("errors"))
 
 
@@ -49,9 +50,11 @@ def first_parts(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (image_checks, plan_checks, setting_checks, source_checks, motor_checks, first_parts)}
 ORACLES = {
     "image_checks": """SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'stream' WHEN (event_type = 'click') <> (event_id % 3 = 0) THEN 'type' WHEN event_id % 5 = 0 THEN 'size' END AS error FROM events""",
-    "plan_checks": """WITH p AS (SELECT event_id, ['custom', 'single', 'dual_separate', 'odd'][event_id % 4 + 1] AS m, ['arms', 'full', 'arms_lift'][event_id % 3 + 1] AS x, ['left', 'right', NULL, 'up', NULL][event_id % 5 + 1] AS h, event_id % 2 = 1 AS r FROM events)
-SELECT event_id, array_to_string(list_filter([CASE WHEN m = 'odd' THEN 'mode' END, CASE WHEN x = 'full' AND m = 'dual_separate' THEN 'full needs one prompt' END, CASE WHEN h = 'up' THEN 'hand' END, CASE WHEN m = 'single' AND h IS NULL THEN 'single needs a hand' END,
-CASE WHEN m <> 'single' AND h IS NOT NULL THEN 'hand not accepted' END, CASE WHEN m = 'dual_separate' AND NOT r THEN 'right prompt needed' END, CASE WHEN m <> 'dual_separate' AND r THEN 'right prompt not accepted' END], lambda e: e IS NOT NULL), ';') AS errors FROM p""",
+    "plan_checks": """WITH p AS (SELECT event_id, ['custom', 'single', 'dual_separate', 'odd', 'dual_continuous', 'single', 'dual_separate'][event_id % 7 + 1] AS m, ['arms', 'full', 'arms_lift'][event_id % 3 + 1] AS x, ['left', 'right', NULL, 'up', NULL][event_id % 5 + 1] AS h,
+event_id % 4 AS p, event_id % 3 AS r FROM events)
+SELECT event_id, array_to_string(list_filter([CASE WHEN m = 'odd' THEN 'mode' END, CASE WHEN x = 'full' AND m = 'dual_separate' THEN 'full needs one prompt' END, CASE WHEN p = 3 THEN 'prompt' END, CASE WHEN h = 'up' THEN 'hand' END, CASE WHEN m = 'single' AND h IS NULL THEN 'single needs a hand' END,
+CASE WHEN m <> 'single' AND h IS NOT NULL THEN 'hand not accepted' END, CASE WHEN m = 'dual_separate' AND r = 0 THEN 'right prompt needed' END, CASE WHEN m <> 'dual_separate' AND r > 0 THEN 'right prompt not accepted' END, CASE WHEN r = 2 THEN 'right prompt' END,
+CASE WHEN m = 'single' AND CASE WHEN p = 0 THEN 'left' WHEN p = 1 THEN 'right' END IS DISTINCT FROM h THEN 'prompt and hand' END, CASE WHEN m = 'dual_separate' AND NOT (p = 0 AND r = 1) THEN 'left and then right' END], lambda e: e IS NOT NULL), ';') AS errors FROM p""",
     "setting_checks": """SELECT event_id, array_to_string(list_filter([CASE WHEN floor(value) BETWEEN 1 AND 49 THEN NULL ELSE 'trigger_index' END, CASE WHEN floor(value / 2) BETWEEN 0 AND 24 THEN NULL ELSE 'delay_initial_steps' END,
 CASE WHEN value = floor(value) AND value BETWEEN 1 AND 1000 THEN NULL ELSE 'delay_window' END, CASE WHEN value / 10 BETWEEN 0 AND 5 THEN NULL ELSE 'max_guidance_weight' END, CASE WHEN value / 20 - 1 > 0 AND value / 20 - 1 <= 2 THEN NULL ELSE 'max_observation_age_s' END], lambda e: e IS NOT NULL), ';') AS errors FROM events""",
     "source_checks": """SELECT event_id, CASE WHEN event_type = 'error' THEN 'unavailable' WHEN event_id % 2 = 0 AND value >= 50 THEN 'base moves' END AS error, CASE WHEN event_id % 4 > 0 THEN round(value / (event_id % 4 * 0.5::DOUBLE), 6) END AS seconds,

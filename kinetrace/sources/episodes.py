@@ -16,16 +16,23 @@ MOST_FILES, MOST_FOLDERS = 2000, 10_000
 WIDTHS = {"arm": 14, "effector": 2, "waist": 3, "head": 2, "base": 2}
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*.{hdf5,h5,parquet}") -> DataFrame:
-    """Episode files below a folder, hidden folders left out; the report is limited, the row after the limit marks it."""
+def list_files(spark: SparkSession, path: str, glob: str = "*.{hdf5,h5,parquet}", most: int = MOST_FILES) -> DataFrame:
+    """``path, length, truncated``: episode files below a folder, hidden folders left out, the first ``most`` by path; ``truncated`` says that there are more."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select("path", "length").filter(~F.col("path").rlike(r"/\.[^/]+/")).distinct().orderBy("path").limit(MOST_FILES)
+    return _report(files.select("path", "length").filter(~F.col("path").rlike(r"/\.[^/]+/")).distinct(), "path", most)
 
 
-def dataset_folders(files: DataFrame) -> DataFrame:
-    """The distinct folders that hold episodes; a ``states`` folder counts for the one above."""
+def _report(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The first ``most`` rows by a column, and whether there are more: one row beyond them tells, so no window sees more than that."""
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by))
+    seen = rows.orderBy(by).limit(most + 1).withColumn("_place", place).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > most)
+    return seen.filter(F.col("_place") <= most).drop("_place").orderBy(by)
+
+
+def dataset_folders(files: DataFrame, most: int = MOST_FOLDERS) -> DataFrame:
+    """``folder, truncated``: the distinct folders that hold episodes, the first ``most``; a ``states`` folder counts for the one above."""
     folder = F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]+$", 1), r"/states$", "")
-    return files.select(folder.alias("folder")).distinct().orderBy("folder").limit(MOST_FOLDERS)
+    return _report(files.select(folder.alias("folder")).distinct(), "folder", most)
 
 
 def frames_from_groups(rows: DataFrame, source: str) -> DataFrame:

@@ -12,7 +12,11 @@ def test_rules(spark):
     assert value(spark, checks.image_error(F.lit("rgb"), F.lit("uint8"), F.lit(640), F.lit(480), F.lit(3))) is None
     assert value(spark, checks.image_error(F.lit("depth"), F.lit("uint8"), F.lit(640), F.lit(480), F.lit(None).cast("int"))) == "type"
     none = F.lit(None).cast("string")
-    assert value(spark, checks.plan_errors(F.lit("single"), F.lit("arms"), F.lit("left"), F.lit("pick"), none)) == []
+    assert value(spark, checks.plan_errors(F.lit("single"), F.lit("arms"), F.lit("left"), F.lit("pick with the left hand"), none)) == []
+    assert value(spark, checks.plan_errors(F.lit("dual_continuous"), F.lit("full"), none, F.lit("pick"), none)) == []
+    assert value(spark, checks.plan_errors(F.lit("single"), F.lit("arms"), F.lit("left"), F.lit("left or right"), none)) == ["prompt and hand"]
+    assert value(spark, checks.plan_errors(F.lit("dual_separate"), F.lit("arms"), none, F.lit("the left"), F.lit("the right"))) == []
+    assert value(spark, checks.plan_errors(F.lit("dual_separate"), F.lit("arms"), none, F.lit("the left"), F.lit(" "))) == ["right prompt", "left and then right"]
     assert "full needs one prompt" in value(spark, checks.plan_errors(F.lit("dual_separate"), F.lit("full"), none, F.lit("pick"), F.lit("place")))
     assert value(spark, checks.source_error(F.lit(True), F.lit(0.1), F.lit("full"))) == "base moves" and value(spark, checks.source_error(F.lit(True), F.lit(0.1), F.lit("arms"))) is None
     assert value(spark, checks.setting_errors({"trigger_index": F.lit(20.5), "warmup_timeout_s": F.lit(0.0)})) == ["trigger_index", "warmup_timeout_s"]

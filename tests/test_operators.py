@@ -52,7 +52,10 @@ def test_resampling_and_diagnostics(spark):
     assert [r.value for r in kept] == [2, 3, 4]
     assert not timeline.diagnostics(episode(spark, [0, 0.1, 0.09, 0.2], [(0, 0)] * 4), ["ep"], ["frame"], "t", 30.0).first().valid
     assert len(timeline.resample(episode(spark, [10], [(3, 4)]), ["ep"], ["frame"], "t", ["held"], ["value"], 30.0).collect()) == 1
-    assert timeline.resample(episode(spark, [0, 10_000], [(0, 0)] * 2), ["ep"], ["frame"], "t", ["held"], ["value"], 30.0, 1000).count() == 0
+    long = episode(spark, [0, 10_000], [(0, 0)] * 2)
+    assert timeline.resample(long, ["ep"], ["frame"], "t", ["held"], ["value"], 30.0).count() == 300_001
+    with pytest.raises(Exception, match="more than 1000 frames"):
+        timeline.resample(long, ["ep"], ["frame"], "t", ["held"], ["value"], 30.0, 1000).collect()
     ms = episode(spark, [1788921000000, 1788921000033, 1788921000200], [(0, 0)] * 3)
     assert timeline.diagnostics(ms, ["ep"], ["frame"], "t", 30.0).first().duration_s == pytest.approx(0.2)
 
