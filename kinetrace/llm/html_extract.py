@@ -407,8 +407,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     joined = _by_host(_by_host(rows, references, "_tree"), templates, "_template")
     kinds = dict(rows.dtypes)
-    out = joined.select("_id", "_url", "_host", "_html", "_tree", "_template").mapInPandas(extract, f"_id {kinds['_id']}, _url string, text string, n_chars long")
-    return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")
+    # pandas would turn integers beside a null into doubles, so ids pass through it as strings
+    joined = joined.withColumn("_id", F.col("_id").cast("string"))
+    out = joined.select("_id", "_url", "_host", "_html", "_tree", "_template").mapInPandas(extract, "_id string, _url string, text string, n_chars long")
+    return out.select(F.col("_id").cast(kinds["_id"]).alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:

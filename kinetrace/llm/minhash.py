@@ -68,6 +68,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows share a set and so a component. A row with a null id takes part in no link; its component is that of an equal
     set with an id, if any. Other columns are ignored; an empty table gives an empty result.
     """
+    # pandas would turn integers beside a null into doubles, so ids pass through it as strings
     rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,13 +77,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids = batch["_id"].tolist()
             for first, raws in chunks(batch["_text"].tolist()):
                 sets = shingle_sets(raws, width)
-                out = pd.DataFrame({"_id": pd.array([None if pd.isna(x) else int(x) for x in ids[first : first + len(sets)]], "Int64"), "n": [len(s) for s in sets], "digest": [_digest(s) if len(s) else None for s in sets]})
+                out = pd.DataFrame({"_id": ids[first : first + len(sets)], "n": [len(s) for s in sets], "digest": [_digest(s) if len(s) else None for s in sets]})
                 held = [s for s in sets if len(s)]
                 keys = iter(signatures(held, bands, rows).view(np.int64) if held else [])
                 out["bands"] = [next(keys) if len(s) else None for s in sets]
                 yield out
 
-    signed = materialise(rows_in.mapInPandas(sign, "_id long, n long, digest binary, bands array<long>"), "minhash-signatures")
+    signed = rows_in.withColumn("_id", F.col("_id").cast("string")).mapInPandas(sign, "_id string, n long, digest binary, bands array<long>")
+    signed = materialise(signed.withColumn("_id", F.col("_id").cast("long")), "minhash-signatures")
     reps = signed.filter("_id is not null and digest is not null").groupBy("digest", "n", "bands").agg(F.min("_id").alias("rid"))
 
     # one pseudo-random centre per bucket: the member nearest to the key by exclusive or

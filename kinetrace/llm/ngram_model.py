@@ -408,9 +408,10 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     Tokens are words between ASCII white space with A-Z lower-cased, then one end; a null text counts as empty and has the end alone. Repeated rows give
     repeated results. Other columns are ignored; an empty table gives an empty result, and a model of no texts gives every word the same probability.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    kind = dict(docs.select(F.col(id_col).alias("_id")).dtypes)["_id"]
+    # pandas would turn integers beside a null into doubles, so ids pass through it as strings
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     classes, head, strength, shards = model.classes, model.head, model.strength, model.shards
-    kind = dict(rows.dtypes)["_id"]
 
     def look(batch: pd.DataFrame) -> Iterator[tuple]:
         ids, texts = batch["_id"].tolist(), batch["_text"].tolist()
@@ -470,7 +471,7 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
                 sums.append(total[some])
         return pd.DataFrame({"uid": np.concatenate(uids) if uids else np.zeros(0, np.int64), "far": np.concatenate(sums) if sums else np.zeros(0)})
 
-    meta = materialise(rows.mapInPandas(near, f"_id {kind}, uid long, n_tokens long, known long, base double, gain double, rare array<long>"), "lm-documents")
+    meta = materialise(rows.mapInPandas(near, "_id string, uid long, n_tokens long, known long, base double, gain double, rare array<long>"), "lm-documents")
     rare = meta.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("times"))
     tail = rare.join(model.words, "word", "left").select("uid", F.col("times"), F.coalesce("n", F.lit(0)).alias("n"))
     backing = F.log10(F.lit(strength) / (F.col("n") + F.lit(strength))) if classes.value.open else F.lit(0.0)
@@ -483,7 +484,7 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     part = lambda c: F.coalesce(c, F.lit(0)) / F.col("m")
     base = F.col("base") + part("tail") - F.col("n_tokens") * F.lit(float(np.log10(classes.value.norm)))
     return joined.select(
-        F.col("_id").alias(id_col),
+        F.col("_id").cast(kind).alias(id_col),
         "n_tokens",
         (F.col("known") + part("tail_known")).cast("long").alias("n_known"),
         F.lit(classes.value.tokens).cast("long").alias("train_tokens"),
