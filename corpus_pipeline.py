@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir); ``run`` writes what a stage returns to t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.llm import language_id, line_dedup, minhash, packing, tokens
@@ -20,20 +20,36 @@ def _sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if row_count(ids) <= SENT_IDS else ids
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and one column with all others, so that columns of the documents clash with none of an operator."""
+    others = [F.col(f"`{c.replace('`', '``')}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(None).cast("int").alias("none"), *others).alias("others"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the documents as they were, but for those that a stage changes."""
+    held = {c: F.col(c) if c in ("doc_id", "text") else F.col(f"others.c{k}") for k, c in enumerate(columns)} | {c: x for c, x in changed.items() if c in columns}
+    return rows.select(*[held[c].alias(c) for c in columns])
+
+
+def _place(columns: list[str], name: str) -> Column:
+    return F.col(f"others.c{columns.index(name)}") if name in columns else F.lit(None).cast("string")
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, learned from the labelled ones; a missing label is filled in.
 
     Rejected, and gone: null texts, texts without a letter, and texts that no learned language explains.
     """
     models = language_id.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
-    found = language_id.identify(docs, models).filter(~F.col("rejected"))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language_id.identify(_packed(docs), models).filter(~F.col("rejected"))
+    return _unpacked(found, docs.columns, lang=F.coalesce(_place(docs.columns, "lang"), "lang_pred"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; those of which nothing is left are gone."""
-    left = line_dedup.dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    left = line_dedup.dedup_lines(_packed(docs)).filter((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return _unpacked(left, docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +57,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Groups are of rows, whatever ids they have: different texts with a null or the same id all stay. Of rows that repeat both id and text one stays.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    found = minhash.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id", (F.col("n_shingles") == 0).alias("_blank"))
+    rows = materialise(_packed(docs).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") == 0).alias("blank"))
     # a blank text is linked with nothing, and only its own repetitions are one with it
-    blank = lambda c: F.when(F.col("_blank"), F.col(c)).alias(f"_{c}")
-    group = [F.when(~F.col("_blank"), F.col("component_id")).alias("_component"), blank("doc_id"), blank("text")]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row"))
-    kept = materialise(rows.join(found, "_row").groupBy(*group).agg(first["_row"].alias("_row")).select("_row"), "pipeline-kept")
-    return rows.join(_sent(kept), "_row", "left_semi").select(*docs.columns)
+    blank = lambda c: F.when(F.col("blank"), F.col(c)).alias(f"blank_{c}")
+    group = [F.when(~F.col("blank"), F.col("component_id")).alias("component"), blank("doc_id"), blank("text")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row"))
+    kept = materialise(rows.join(found, "row").groupBy(*group).agg(first["row"].alias("row")).select("row"), "pipeline-kept")
+    return _unpacked(rows.join(_sent(kept), "row", "left_semi"), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
