@@ -62,6 +62,16 @@ def test_no_rows_and_repeated_rows(spark, tmp_path):
         assert sorted(p.doc_id for p in got if p.start == 0) == sorted({r[0] for r in some})
 
 
+def test_columns_of_documents_clash_with_none_of_the_operators(spark, tmp_path):
+    text = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    names = ["_row", "row", "_kept", "score", "rejected", "lang_pred", "bits_per_symbol", "n_links", "n_lines", "n_removed", "_d", "_t", "others", "component_id", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(k, text.replace("worda", f"other{k}", k), "aa", "s", 1, *names) for k in range(3)], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and all(tuple(r)[5:] == tuple(names) for r in got.collect())
+
+
 def test_near_duplicates_of_rows_with_null_and_clashing_ids(spark, tmp_path):
     text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
     near = lambda k: text(k) + " end"
