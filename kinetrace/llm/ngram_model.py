@@ -18,12 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.words import chunks, mix, word_hashes
-from kinetrace.llm.workspace import materialise, release
+from kinetrace.llm.words import CHUNK, chunks, mix, word_hashes
+from kinetrace.llm.workspace import give_back, materialise, release
 from kinetrace.session import table
 
 #: Words with ids; words whose pairs every executor has; both bound what is broadcast: 16 and 2 MB.
@@ -218,8 +219,11 @@ def fifth(id_: Column) -> Column:
 
 def _tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text's end behind its words, and the first token of each text and the end."""
-    words, bounds = word_hashes(raws)
-    sizes = np.diff(bounds)
+    # hashing takes many times the bytes of a text, so it is done some texts at a time
+    run = np.cumsum([len(r) + 1 for r in raws]) // CHUNK
+    edges = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(raws))
+    parts = [word_hashes(raws[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    words, sizes = np.concatenate([w for w, _ in parts]), np.concatenate([np.diff(b) for _, b in parts])
     starts = np.cumsum(np.append(0, sizes + 1))
     out = np.full(starts[-1], END, np.uint64)
     out[np.arange(len(words)) + np.repeat(np.arange(len(raws)), sizes)] = words
@@ -253,18 +257,64 @@ def _in_head(keys: np.ndarray, head: int) -> np.ndarray:
     return (a <= head) & (b <= head)
 
 
-def _planes(keys: np.ndarray) -> bytes:
-    """Six bytes of each key, equal places together, which compresses well."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+def _squeezed(parts: list[bytes]) -> bytes:
+    """One cell of several byte strings, compressed apart from one another."""
+    press = zstandard.ZstdCompressor(level=1)
+    frames = [press.compress(p) for p in parts]
+    return np.array([len(parts), *map(len, frames)], "<i8").tobytes() + b"".join(frames)
 
 
-def _from_planes(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
+def _spread(cell: bytes) -> list[bytes]:
+    count = int(np.frombuffer(cell, "<i8", 1)[0])
+    ends = 8 * (count + 1) + np.cumsum(np.frombuffer(cell, "<i8", count, 8))
+    return [zstandard.ZstdDecompressor().decompress(cell[a:b]) for a, b in zip([8 * (count + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _bytes_apart(values: np.ndarray, width: int) -> list[bytes]:
+    """The lowest bytes of integers, equal places together, which compresses well."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return [planes[:, k].tobytes() for k in range(width)]
+
+
+def _bytes_joined(planes: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(planes[0]), 8), np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = np.frombuffer(plane, np.uint8)
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return _squeezed(_bytes_apart(keys, 6))
+
+
+def _unpacked_keys(cell: bytes) -> np.ndarray:
+    return _bytes_joined(_spread(cell))
+
+
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """Pairs of ids or hashes: which are hashes, those, and the ids in three bytes."""
+    flat = codes.reshape(-1)
+    large = flat >= np.uint64(1 << CLASS_BITS)
+    return _squeezed([np.packbits(large).tobytes(), flat[large].astype("<u8").tobytes(), *_bytes_apart(flat[~large], 3)])
+
+
+def _unpacked_codes(cell: bytes) -> np.ndarray:
+    bits, hashes, *ids = _spread(cell)
+    hashes, ids = np.frombuffer(hashes, "<u8"), _bytes_joined(ids)
+    flat = np.zeros(len(hashes) + len(ids), np.uint64)
+    large = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(flat)).astype(bool)
+    flat[large], flat[~large] = hashes, ids
+    return flat.reshape(-1, 2)
+
+
+def _packed_counts(n: np.ndarray) -> bytes:
+    return _squeezed([n.astype("<i8").tobytes()])
+
+
+def _unpacked_counts(cell: bytes) -> np.ndarray:
+    return np.frombuffer(_spread(cell)[0], "<i8")
+
+
 def _texts(batch: pd.DataFrame) -> Iterator[tuple[int, list[bytes]]]:
     yield from chunks(batch["_text"].tolist(), RUN_BYTES)
 
@@ -277,6 +327,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for _, raws in _texts(batch):
                 words, n = np.unique(_tokens(raws)[0], return_counts=True)
                 yield pd.DataFrame({"word": words.view(np.int64), "n": n})
+            give_back()
 
     return docs.select("_text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -317,10 +368,11 @@ def train(docs: DataFrame, text_col: str = "text") -> NgramModel:
                 keys, n = keys[~top], n[~top]
                 shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
                 order, runs = _by_shard(shard)
-                out = [(k, _planes(keys[order[a:b]]), n[order[a:b]].astype("<u4").tobytes(), b"", None, None) for k, a, b in runs]
+                out = [(k, _packed_keys(keys[order[a:b]]), _packed_counts(n[order[a:b]]), None, None, None) for k, a, b in runs]
                 order, runs = _by_shard(shared.value.shard_of(codes, shards))
-                out += [(k, b"", b"", codes[order[a:b]].tobytes(), None, None) for k, a, b in runs]
+                out += [(k, None, None, _packed_codes(codes[order[a:b]]), None, None) for k, a, b in runs]
                 yield pd.DataFrame(out, columns=columns)
+            give_back()
         seen = np.flatnonzero(head)
         yield pd.DataFrame([(-1, None, None, None, seen.tolist(), head[seen].tolist())], columns=columns)
 
@@ -330,15 +382,15 @@ def train(docs: DataFrame, text_col: str = "text") -> NgramModel:
     dense[heads["head"].to_numpy(np.int64)] = heads["n"].to_numpy(np.int64)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([_from_planes(x) for x in group["keys"]])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in group["counts"]])
-        codes = np.frombuffer(b"".join(group["odd"]), np.uint64).reshape(-1, 2)
+        keys = np.concatenate([np.zeros(0, np.uint64), *[_unpacked_keys(x) for x in group["keys"].dropna()]])
+        n = np.concatenate([np.zeros(0, np.int64), *[_unpacked_counts(x) for x in group["counts"].dropna()]])
+        codes = np.concatenate([np.zeros((0, 2), np.uint64), *[_unpacked_codes(x) for x in group["odd"].dropna()]])
         rare = np.unique(codes[shared.value.rare(codes)])
         keys, n = np.append(keys, shared.value.local(codes, rare)[0]), np.append(n, np.ones(len(codes), n.dtype))
         order = np.argsort(keys, kind="stable")
         keys, first = np.unique(keys[order], return_index=True)
-        sums = np.add.reduceat(n[order].astype(np.int64), first)
-        return pd.DataFrame([(int(group["shard"].iloc[0]), Trie.pack(keys), sums.astype("<u4").tobytes(), rare.view(np.int64))], columns=["shard", "trie", "counts", "rare"])
+        sums = np.add.reduceat(n[order], first)
+        return pd.DataFrame([(int(group["shard"].iloc[0]), Trie.pack(keys), _packed_counts(sums), rare.view(np.int64))], columns=["shard", "trie", "counts", "rare"])
 
     merged = counted.filter("shard >= 0").select("shard", "keys", "counts", "odd").groupBy("shard").applyInPandas(merge, "shard long, trie binary, counts binary, rare array<long>")
     merged = numbered = materialise(merged, "lm-counts")
@@ -350,7 +402,7 @@ def train(docs: DataFrame, text_col: str = "text") -> NgramModel:
 
     def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gain = [_left_out(Trie(t).keys(), np.frombuffer(c, "<u4").astype(np.int64), *shared.value.with_rare(r)).tolist() for t, c, r in zip(batch["trie"], batch["counts"], batch["rare_n"], strict=True)]
+            gain = [_left_out(Trie(t).keys(), _unpacked_counts(c), *shared.value.with_rare(r)).tolist() for t, c, r in zip(batch["trie"], batch["counts"], batch["rare_n"], strict=True)]
             yield pd.DataFrame({"gain": gain})
 
     gains = merged.select("trie", "counts", "rare_n").mapInPandas(leave_out, "gain array<double>").select(F.posexplode("gain").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g")).toPandas()
@@ -363,7 +415,7 @@ def train(docs: DataFrame, text_col: str = "text") -> NgramModel:
         for batch in batches:
             out = []
             for shard, trie, counts, rare, rare_n in zip(batch["shard"], batch["trie"], batch["counts"], batch["rare"], batch["rare_n"], strict=True):
-                gain = _over_backing_off(Trie(trie).keys(), np.frombuffer(counts, "<u4").astype(np.float64), shared.value.with_rare(rare_n)[1], strength)
+                gain = _over_backing_off(Trie(trie).keys(), _unpacked_counts(counts).astype(np.float64), shared.value.with_rare(rare_n)[1], strength)
                 low, high = float(gain.min()), float(gain.max())
                 step = max(high - low, 1e-9) / STEPS
                 out.append((shard, trie, np.round((gain - low) / step).astype("<u2").tobytes(), low, step, rare))
@@ -436,6 +488,7 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
                 others = tokens[rare].view(np.int64)
                 out["rare"] = [others[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield out
+            give_back()
 
     def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -443,12 +496,13 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
                 doc = np.repeat(np.arange(len(uid)), np.diff(starts))
                 away, out = ~_in_head(keys, classes.value.head) & ~odd, []
                 near_keys = keys[away]
-                for held, docs_, shard, pack in ((near_keys, doc[away], (mix(near_keys) % np.uint64(shards)).astype(np.int64), _planes), (codes, doc[odd], classes.value.shard_of(codes, shards), np.ndarray.tobytes)):
+                for held, docs_, shard, pack in ((near_keys, doc[away], (mix(near_keys) % np.uint64(shards)).astype(np.int64), _packed_keys), (codes, doc[odd], classes.value.shard_of(codes, shards), _packed_codes)):
                     order, runs = _by_shard(shard)  # documents stay in order within a shard
                     for k, a, b in runs:
                         own, sizes = np.unique(docs_[order[a:b]], return_counts=True)
-                        out.append((k, uid[own].tobytes(), sizes.astype("<u4").tobytes(), pack(held[order[a:b]]), pack is not _planes))
+                        out.append((k, uid[own].tobytes(), _packed_counts(sizes), pack(held[order[a:b]]), pack is _packed_codes))
                 yield pd.DataFrame(out, columns=["shard", "uids", "sizes", "keys", "odd"])
+            give_back()
 
     def answer(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         uids, sums = [], []
@@ -458,13 +512,13 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
             rare = np.asarray(held["rare"].iloc[0], np.int64).view(np.uint64)
             for uid, sizes, keys, odd in zip(asked["uids"], asked["sizes"], asked["keys"], asked["odd"], strict=True):
                 if odd:
-                    keys, known = classes.value.local(np.frombuffer(keys, np.uint64).reshape(-1, 2), rare)
+                    keys, known = classes.value.local(_unpacked_codes(keys), rare)
                     at = np.full(len(keys), -1, np.int64)
                     at[known] = trie.find(keys[known])
                 else:
-                    at = trie.find(_from_planes(keys))
+                    at = trie.find(_unpacked_keys(keys))
                 gain = np.where(at >= 0, low + step * values[at], 0.0)
-                sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
+                sizes = _unpacked_counts(sizes)
                 total = np.add.reduceat(gain, np.cumsum(sizes) - sizes)
                 some = total != 0
                 uids.append(np.frombuffer(uid, np.int64)[some])
