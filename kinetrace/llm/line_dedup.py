@@ -59,12 +59,13 @@ def _places(edits: int, least: int) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0] != 0 or x[2] != 0, x))
 
 
-def _keys(wide: Column, n: Column, edits: int, places: list[tuple[int, int, int]]) -> Column:
-    out = []
-    for shorter, i, shift in places:
-        start, size = _segment(n - shorter, i, edits + 1)
-        out.append(F.xxhash64(n - shorter, F.lit(i), _cut(wide, start + shift, size)))
-    return F.array(*out)
+def _keyed(rows: DataFrame, edits: int, places: list[tuple[int, int, int]]) -> DataFrame:
+    """(_id, _keys) of rows (_id, _w): the keys of each place. Where segments start is computed once for all places, in a projection of its own."""
+    bounds = {(h, i): _segment((F.octet_length("_w") / 4).cast("int") - h, i, edits + 1) for h, i, _ in places}
+    rows = rows.select("_id", "_w", *[x.alias(f"_{name}{h}_{i}") for (h, i), pair in bounds.items() for name, x in zip(("at", "size"), pair, strict=True)])
+    n = (F.octet_length("_w") / 4).cast("int")
+    keys = [F.xxhash64(n - h, F.lit(i), _cut(F.col("_w"), F.col(f"_at{h}_{i}") + k, F.col(f"_size{h}_{i}"))) for h, i, k in places]
+    return rows.select("_id", F.array(*keys).alias("_keys"))
 
 
 def _level(rows: DataFrame, edits: int, places: list[tuple[int, int, int]], is_index: bool) -> DataFrame:
@@ -202,10 +203,10 @@ def _hot(index: DataFrame) -> DataFrame:
 
 def _candidates(lines: DataFrame, own: DataFrame, edits: int) -> DataFrame:
     """Pairs (_a, _b) of hashes of lines that may be within ``edits`` edits; own holds each line once."""
-    wide = own.select(F.xxhash64("_line").alias("_id"), _wide(F.col("_line")).alias("_w")).withColumn("_n", (F.octet_length("_w") / 4).cast("int"))
+    wide = own.select(F.xxhash64("_line").alias("_id"), _wide(F.col("_line")).alias("_w"))
     first = _places(edits, 0)
-    index = wide.select("_id", F.explode(_keys(F.col("_w"), F.col("_n"), edits, _own(edits))).alias("_key"))
-    probe = wide.select("_id", F.posexplode(_keys(F.col("_w"), F.col("_n"), edits, first)).alias("_at", "_key")).select("_id", "_key", (F.col("_at") <= edits).alias("_same"))
+    index = _keyed(wide, edits, _own(edits)).select("_id", F.explode("_keys").alias("_key"))
+    probe = _keyed(wide, edits, first).select("_id", F.posexplode("_keys").alias("_at", "_key")).select("_id", "_key", (F.col("_at") <= edits).alias("_same"))
     hot = materialise(_hot(index), "line-hot")
     cold = index.join(_sent(hot, 16), "_key", "left_anti").unionByName(hot.select(F.lit(None).cast("long").alias("_id"), "_key"))
     # lines that meet under cold keys, and in the same pass the lines that have hot ones
