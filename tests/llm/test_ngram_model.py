@@ -117,3 +117,24 @@ def test_all_words_keep_their_pairs(spark, monkeypatch):
     for doc, w in want.items():
         g = got[doc]
         assert (g.n_tokens, g.n_known, g.train_tokens) == w[:3] and g.base_score == pytest.approx(w[3], abs=1e-6) and g.score == pytest.approx(w[4], abs=2e-3 * w[0] ** 0.5)
+
+
+def test_cells_come_back_as_they_were():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 5000):
+        keys = rng.integers(0, 1 << 48, n, dtype=np.uint64)
+        assert (lm._unpacked_keys(lm._packed_keys(keys)) == keys).all()
+        counts = rng.integers(0, 1 << 40, n)  # beyond 32 bits
+        assert (lm._unpacked_counts(lm._packed_counts(counts)) == counts).all()
+        codes = rng.integers(0, 1 << 64, (n, 2), dtype=np.uint64)
+        codes[rng.random((n, 2)) < 0.5] >>= np.uint64(42)  # ids beside hashes
+        got = lm._unpacked_codes(lm._packed_codes(codes))
+        assert got.shape == codes.shape and (got == codes).all()
+
+
+def test_tokens_do_not_depend_on_how_many_texts_are_hashed_at_once():
+    raws = [b"one two", b"", b"x " * 700_000, b"three", b"y" * 1_500_000, b"four five six"]
+    tokens, starts = lm._tokens(raws)
+    for k, raw in enumerate(raws):
+        own, _ = lm._tokens([raw])
+        assert (tokens[starts[k] : starts[k + 1]] == own).all()
