@@ -137,11 +137,11 @@ def meet(blocks: DataFrame, sent: DataFrame, sent_bytes: int, work: Callable[[It
 
 
 def sent_blocks(rows: DataFrame, **options) -> tuple[DataFrame, int]:
-    """Rows dealt evenly to blocks, and an upper bound of the bytes of these."""
+    """Rows in as few blocks as hold them, made where they are read, and an upper bound of the bytes of these."""
     size = rows.agg(F.sum(F.size("vec") * 8 + 8 * len(rows.columns) + F.lit(options.pop("row_bytes", 0)))).first()[0] or 0
     n = row_count(rows)
     tasks = max(1, -(-n // BLOCK_ROWS), -(-size // SENT_BYTES))
-    return to_blocks(rows.repartition(tasks, "uid"), **options), size
+    return to_blocks(rows.coalesce(tasks), **options), size
 
 
 def best(scores: np.ndarray, most: int, least) -> tuple[np.ndarray, np.ndarray]:

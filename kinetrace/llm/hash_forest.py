@@ -34,6 +34,8 @@ from kinetrace.session import table
 TREES, SYMBOLS, SLOTS, BITS = 256, 6, 16, 5
 #: Rows of a block of vectors at most; the larger, the less of it is compared.
 FOREST_ROWS = 16_384
+#: Blocks of no more rows are compared whole, which takes less than a descent in all trees.
+LEAST_ROWS = 1024
 #: Accepted chance that a vector as near as the last result has been missed.
 MISS = 0.05
 #: One of so many rows is searched first.
@@ -91,6 +93,10 @@ class Forest:
     def __init__(self, block: Block, seed: int, chances: np.ndarray):
         self.block, self.vectors, self.chances = block, block["vec"], chances
         self.rows = len(self.vectors)
+        self.by_uid = np.argsort(block["uid"])
+        self.planted = self.rows > LEAST_ROWS
+        if not self.planted:
+            return
         self.scale = np.abs(self.vectors).max()
         small = self.vectors / self.scale
         norms = np.sqrt((small * small).sum(1))
@@ -101,7 +107,6 @@ class Forest:
         self.order = np.argsort(own, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(own, self.order, 1)
         self.flat = self.order.ravel()
-        self.by_uid = np.argsort(block["uid"])
 
     def ranges(self, sig: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """First and last place in each sorted array of what shares the first ``depth`` symbols with each query: (query, tree)."""
@@ -137,7 +142,7 @@ class Forest:
         found: list = [None] * len(own)
         open_ = np.arange(len(own))
         below = None
-        for depth in range(SYMBOLS, 0, -1):
+        for depth in range(SYMBOLS if self.planted else 0, 0, -1):
             low, high = self.ranges(queries["sig"][open_], depth)
             sizes, left = (high - low).sum(1), []
             for k, q in enumerate(open_):
