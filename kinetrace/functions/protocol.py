@@ -1,4 +1,4 @@
-"""Typed checks of JSON payloads. Keys are checked on a map of raw strings, since a struct parse would coerce and ignore."""
+"""Checks of the fields of JSON payloads, by the types that the JSON itself gives them."""
 
 from __future__ import annotations
 
@@ -8,53 +8,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW = T.MapType(T.StringType(), T.StringType())
-NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+from kinetrace.functions import typed_json as j
+
 # Integer and real settings of the chunk schedule with their ranges.
 SCHEDULE_RANGES = {"s": (1, 49), "d": (0, 49), "reserve": (0, 49), "horizon": (50, 50)}
 
 
-def raw_map(payload: Column) -> Column:
-    return F.from_json(payload, RAW)
-
-
 def key_errors(payload: Column, expected: list[str]) -> Column:
     """Missing and extra keys of an object, sorted; null for what is no object."""
-    keys, wanted = F.map_keys(raw_map(payload)), F.array(*map(F.lit, expected))
-    return F.struct(F.sort_array(F.array_except(wanted, keys)).alias("missing"), F.sort_array(F.array_except(keys, wanted)).alias("extra"))
+    held, wanted = j.keys(j.parsed(payload)), F.lit(expected)
+    return F.struct(F.sort_array(F.array_except(wanted, held)).alias("missing"), F.sort_array(F.array_except(held, wanted)).alias("extra"))
 
 
 def number_of(payload: Column, key: str) -> Column:
     """A finite JSON number of an object; null for a boolean, a string, null or a missing key."""
-    found = F.get_json_object(payload, f"$.{key}")
-    quoted = payload.rlike(rf'"{key}"\s*:\s*"')
-    return F.when(found.rlike(NUMBER) & ~quoted, found.try_cast("double"))
+    return j.number(j.at(j.parsed(payload), key))
 
 
 def flatten_action(payload: Column, groups: dict[str, int]) -> Column:
     """An object of number arrays as one vector in the order of ``groups``; null unless keys and lengths are exact and all numbers finite."""
-    errors = key_errors(payload, list(groups))
-    parts = {k: F.from_json(F.get_json_object(payload, f"$.{k}"), T.ArrayType(T.StringType())) for k in groups}
-    exact = reduce(lambda a, b: a & b, [F.size(v) == n for (k, n), v in zip(groups.items(), parts.values(), strict=True)])
-    numbers = reduce(lambda a, b: a & b, [F.forall(v, lambda x: x.rlike(NUMBER)) for v in parts.values()])
-    bare = reduce(lambda a, b: a & b, [~F.contains(F.get_json_object(payload, f"$.{k}"), F.lit('"')) for k in groups])
-    whole = F.transform(F.concat(*parts.values()), lambda x: x.try_cast("double"))
-    ok = (F.size(errors["missing"]) == 0) & (F.size(errors["extra"]) == 0) & exact & numbers & bare
-    return F.when(F.coalesce(ok, F.lit(False)), whole)
+
+    def flat(value: Column) -> Column:
+        parts = [F.transform(j.items(j.at(value, k)), j.number) for k in groups]
+        exact = reduce(lambda a, b: a & b, [F.size(v) == n for v, n in zip(parts, groups.values(), strict=True)])
+        sound = exact & (F.array_sort(j.keys(value)) == F.lit(sorted(groups))) & F.forall(F.concat(*parts), lambda x: x.isNotNull())
+        return F.when(F.coalesce(sound, F.lit(False)), F.concat(*parts))
+
+    return j.bind(j.parsed(payload), flat)
 
 
 def chunk_rows(payload: Column, rows: int = 50, width: int = 23) -> Column:
     """The actions of a reply as an array of vectors; null unless it is ``rows`` by ``width`` finite numbers and its success flag is a boolean."""
-    held = F.from_json(F.get_json_object(payload, "$.actions"), T.ArrayType(T.ArrayType(T.DoubleType())))
-    flag = payload.rlike(r'"is_success"\s*:\s*(true|false)')
-    ok = flag & (F.size(held) == rows) & F.forall(held, lambda r: (F.size(r) == width) & F.forall(r, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return F.when(F.coalesce(ok, F.lit(False)), held)
+
+    def held(value: Column) -> Column:
+        actions = F.transform(j.items(j.at(value, "actions")), lambda r: F.transform(j.items(r), j.number))
+        ok = j.is_kind(j.at(value, "is_success"), "boolean") & (F.size(actions) == rows) & F.forall(actions, lambda r: (F.size(r) == width) & F.forall(r, lambda x: x.isNotNull()))
+        return F.when(F.coalesce(ok, F.lit(False)), actions)
+
+    return j.bind(j.parsed(payload), held)
 
 
 def metadata_errors(payload: Column, exact: dict[str, int | bool]) -> Column:
     """The keys of an object whose JSON value is not exactly the one asked for; true is not 1."""
-    bad = [F.when(~F.coalesce(F.get_json_object(payload, f"$.{k}") == str(v).lower(), F.lit(False)) | F.coalesce(payload.rlike(rf'"{k}"\s*:\s*"'), F.lit(False)), F.lit(k)) for k, v in exact.items()]
-    return F.array_compact(F.array(*bad))
+    same = lambda v, wanted: F.coalesce((j.flag(v) if isinstance(wanted, bool) else j.whole(v)) == F.lit(wanted), F.lit(False))
+    return j.bind(j.parsed(payload), lambda value: F.array_compact(F.array(*[F.when(~same(j.at(value, k), v), F.lit(k)) for k, v in exact.items()])))
 
 
 def range_errors(settings: dict[str, Column], ranges: dict[str, tuple[float, float]]) -> Column:
@@ -74,9 +71,8 @@ def embedded_object(text: Column) -> Column:
 
 def allowed_command(text: Column, allowed: list[str]) -> Column:
     """The command of an embedded object that is marked as direct, if it is allowed."""
-    found = embedded_object(text)
-    command = F.get_json_object(found, "$.command")
-    return F.when(found.rlike(r'"direct"\s*:\s*true') & command.isin(*allowed), command)
+    chosen = lambda value: F.when(j.flag(j.at(value, "direct")) & j.string(j.at(value, "command")).isin(*allowed), j.string(j.at(value, "command")))
+    return j.bind(j.parsed(embedded_object(text)), chosen)
 
 
 BLOCKS = T.ArrayType(T.StructType([T.StructField("content", T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])))]))

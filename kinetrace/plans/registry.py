@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetrace.plans import frames, language, rules, telemetry
+from kinetrace.plans import contracts, frames, language, rules, telemetry
 
-MODULES = (telemetry, frames, language, rules)
+MODULES = (telemetry, frames, language, rules, contracts)
 
 
 def queries() -> dict:
