@@ -10,8 +10,9 @@ Candidates are compared by their exact products.
 Inner products become angles: vectors get a coordinate that fills them up to the longest of their block. Blocks hold vectors of like lengths, so
 one long vector does not press the others together.
 
-Rows are dealt to blocks at random, so no vector and no cluster makes one block large. Queries are broadcast to the blocks in parts of bounded
-size. A share of the rows is searched first; the score of each query's last result there lets the search of the others stop earlier and return little.
+Blocks are cut where rows are read, at a fixed number of rows, so no vector and no cluster makes one block large, and rows are not shuffled. Queries
+are broadcast to the blocks in parts of bounded size. A random share of the rows is searched first; the score of each query's last result there lets the
+search of the others stop earlier and return little.
 """
 
 from __future__ import annotations
@@ -242,7 +243,7 @@ def nearest(rows: DataFrame, query: Column, id_col: str = "vec_id", vector_col:
 
     def search(part: DataFrame, goals: Column | None, name: str) -> DataFrame:
         tasks = max(1, -(-10 * row_count(part) // (9 * FOREST_ROWS)))
-        blocks = to_blocks(part.repartition(tasks, "uid"), FOREST_ROWS, split=length_class)
+        blocks = to_blocks(part.coalesce(tasks), FOREST_ROWS, split=length_class)
         asked = queries.withColumn("goal", F.array(F.lit(float("-inf")))) if goals is None else queries.join(goals, "uid", "left").withColumn("goal", F.array(F.coalesce("goal", F.lit(float("-inf")))))
         sent, size = sent_blocks(asked, extra=strings_of, extras={"sig": "<i4"}, row_bytes=4 * TREES)
         return meet(blocks, sent, size, lambda pairs: _search(pairs, most, seed, chances, arrow), "query_uid long, uid long, vec_id long, score double", KINDS, name)
