@@ -104,4 +104,5 @@ def run_id(started: Column, suffix: Column) -> Column:
 
 
 def task_prompt(item: Column, hand: Column) -> Column:
-    return F.format_string("Pick up the %s with the %s hand.", item, hand)
+    """The prompt of one hand; :func:`kinetrace.operators.policy.task_plan` builds those of whole tasks."""
+    return F.format_string("Grasp %s with the %s hand", item, hand)

@@ -37,11 +37,22 @@ def with_age(rows: DataFrame, t: Column, now: Column, limit_s: float) -> DataFra
     return rows.withColumn("age_ms", age_ms(now, t)).withColumn("fresh", F.col("age_ms") <= limit_s * 1000)
 
 
-def trailing_rate(rows: DataFrame, by: list[str], t: str, span: int) -> DataFrame:
-    """``rate``: arrivals per unit of ``t`` in the span that ends at each row, (n - 1) / (last - first); 0 for less than two or no time between."""
+def trailing_rate(rows: DataFrame, by: list[str], t: str, span: int, most: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """``rate``: arrivals per unit of ``t`` in the span that ends at each row, (n - 1) / (last - first); 0 for less than two or no time between.
+
+    With ``most``, only the last so many arrivals are remembered, as in a ring: those up to the row itself, in ``order``, rows of equal ``t`` one after another.
+    """
     w = Window.partitionBy(*by).orderBy(t).rangeBetween(-span, 0)
-    n, first, last = F.count(F.lit(1)).over(w), F.min(t).over(w), F.max(t).over(w)
-    return rows.withColumn("rate", F.when((n < 2) | (last <= first), F.lit(0.0)).otherwise((n - 1) / (last - first)))
+    if most is None:
+        n, first, last = F.count(F.lit(1)).over(w), F.min(t).over(w), F.max(t).over(w)
+        return rows.withColumn("rate", F.when((n < 2) | (last <= first), F.lit(0.0)).otherwise((n - 1) / (last - first)))
+    arrivals = Window.partitionBy(*by).orderBy(t, *(order or []))
+    placed = rows.withColumn("_place", F.row_number().over(arrivals)).withColumn("_ring", F.min(t).over(arrivals.rowsBetween(1 - most, 0)))
+    # the first arrival that is both in the span and in the ring
+    first_place = F.greatest(F.min("_place").over(w), F.col("_place") - (most - 1))
+    held = placed.withColumn("_n", F.col("_place") - first_place + 1).withColumn("_first", F.greatest(F.min(t).over(w), F.col("_ring")))
+    rate = F.when((F.col("_n") < 2) | (F.col(t) <= F.col("_first")), F.lit(0.0)).otherwise((F.col("_n") - 1) / (F.col(t) - F.col("_first")))
+    return held.withColumn("rate", rate).drop("_place", "_ring", "_n", "_first")
 
 
 def silent_gaps(rows: DataFrame, by: list[str], order: list[str], t: str, limit: float) -> DataFrame:

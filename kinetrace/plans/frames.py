@@ -158,6 +158,11 @@ SELECT vec_id, nw AS width, nh AS height, (224 - nw) // 2 AS pad_left, (224 - nh
     "slew_limited": f"""WITH RECURSIVE {FRAMES}, n AS (SELECT vec_id, label, action[1] AS a, action[15] AS b, action[8] AS g, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM f),
 s AS (SELECT vec_id, label, r, a, b, g FROM n WHERE r = 1 UNION ALL SELECT n.vec_id, n.label, n.r, s.a + greatest(-0.1::DOUBLE, least(0.1::DOUBLE, n.a - s.a)), s.b + greatest(-0.1::DOUBLE, least(0.1::DOUBLE, n.b - s.b)), n.g FROM s JOIN n ON n.label = s.label AND n.r = s.r + 1)
 SELECT vec_id, round(a, 6) AS axis0, round(b, 6) AS axis14, round(g, 6) AS axis7 FROM s""",
+    "slew_report": f"""WITH RECURSIVE {FRAMES}, n AS (SELECT vec_id, label, list_select(action, {[k + 1 for k in dims.ARM_JOINTS]}) AS a, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM f),
+s AS (SELECT vec_id, label, r, a AS sent, []::INT[] AS axes FROM n WHERE r = 1 UNION ALL
+  SELECT n.vec_id, n.label, n.r, list_transform(n.a, lambda x, i: CASE WHEN x - s.sent[i] > 0.1 THEN s.sent[i] + 0.1::DOUBLE WHEN x - s.sent[i] < -0.1 THEN s.sent[i] - 0.1::DOUBLE ELSE x END),
+    list_filter(list_transform(n.a, lambda x, i: CASE WHEN abs(x - s.sent[i]) > 0.1 THEN ({list(dims.ARM_JOINTS)})[i] END), lambda k: k IS NOT NULL) FROM s JOIN n ON n.label = s.label AND n.r = s.r + 1)
+SELECT label, count(*) FILTER (len(axes) > 0) AS limited_steps, array_to_string(arg_max(axes, vec_id) FILTER (len(axes) > 0), ',') AS last_axes FROM s GROUP BY label""",
     "convergence": f"""WITH {FRAMES}, o AS (SELECT vec_id, label, coalesce(greatest(abs(action[1] - state[1]), abs(action[2] - state[2])) <= 0.2, false) AS ok FROM f), i AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY vec_id) AS g FROM o)
 SELECT vec_id, CASE WHEN ok THEN sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY label, g ORDER BY vec_id) ELSE 0 END::BIGINT AS run_length FROM i""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetrace.plans import contracts, frames, language, rules, telemetry
+from kinetrace.plans import contracts, frames, language, records, rules, telemetry
 
-MODULES = (telemetry, frames, language, rules, contracts)
+MODULES = (telemetry, frames, language, rules, contracts, records)
 
 
 def queries() -> dict:

@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +22,8 @@ from kinetrace.plans import dims
 
 #: Files and folders that a listing names at most; a longer one says so in ``truncated``.
 MOST_FILES, MOST_FOLDERS = 2000, 10_000
+#: Frames of an episode and bytes of its file at most; larger ones are reported as invalid.
+MOST_FRAMES, MOST_BYTES = 200_000, 1 << 30
 # Widths of the parts of a grouped frame.
 WIDTHS = {"arm": 14, "effector": 2, "waist": 3, "head": 2, "base": 2}
 
@@ -35,6 +47,138 @@ def dataset_folders(files: DataFrame, most: int = MOST_FOLDERS) -> DataFrame:
     return _report(files.select(folder.alias("folder")).distinct(), "folder", most)
 
 
+SCANNED = "path string, error string, format string, frames long, rate_hz double, duration_s double, basis string, action_mode string, sources map<string,struct<valid:boolean,error:string,frames:long,base_abs_max:double>>"
+
+
+#: The beginning of a file's name, which has one slash or three.
+SCHEME = "^([A-Za-z0-9]+):/+"
+
+
+def _plain(name: str) -> str:
+    return re.sub(SCHEME, r"\1:/", name)
+
+
+class BrokenEpisodeError(ValueError):
+    """A file that is no episode."""
+
+
+def _number(text: bytes | None, otherwise: float, name: str) -> float:
+    try:
+        found = otherwise if text is None else float(text)
+    except ValueError:
+        raise BrokenEpisodeError(f"{name} is no number") from None
+    if not np.isfinite(found):
+        raise BrokenEpisodeError(f"{name} is not finite")
+    return found
+
+
+def _part(column: pa.ChunkedArray, name: str, width: int) -> np.ndarray:
+    """Lists of one width as a matrix of doubles."""
+    whole = column.combine_chunks()
+    if not pa.types.is_list(whole.type) and not pa.types.is_fixed_size_list(whole.type) and not pa.types.is_large_list(whole.type):
+        raise BrokenEpisodeError(f"{name} holds no lists")
+    if whole.null_count or (len(whole) and not pa.compute.all(pa.compute.equal(pa.compute.list_value_length(whole), width)).as_py()):
+        raise BrokenEpisodeError(f"{name} is not {width} wide")
+    try:
+        return whole.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+    except pa.ArrowInvalid:
+        raise BrokenEpisodeError(f"{name} holds no numbers") from None
+
+
+def _source(table: pa.Table, source: str) -> tuple[int, float]:
+    """Frames and largest base speed of one source of a file: ``source.vector`` of aligned frames, or the five parts."""
+    if source not in table.column_names:
+        raise BrokenEpisodeError(f"no {source}")
+    held = table.select([source]).flatten()
+    widths = {"vector": dims.AXES} if f"{source}.vector" in held.column_names else WIDTHS
+    parts = {}
+    for name, width in widths.items():
+        if f"{source}.{name}" not in held.column_names:
+            raise BrokenEpisodeError(f"no {source}.{name}")
+        parts[name] = _part(held.column(f"{source}.{name}"), f"{source}.{name}", width)
+    if not table.num_rows:
+        raise BrokenEpisodeError("no frames")
+    if "vector" in parts and not np.isfinite(parts["vector"]).all():
+        raise BrokenEpisodeError(f"{source} is not finite")
+    base = parts["vector"][:, 21:] if "vector" in parts else parts["base"]
+    if not np.isfinite(base).all():
+        raise BrokenEpisodeError(f"{source}.base is not finite")
+    return table.num_rows, float(np.abs(base).max())
+
+
+def inspect_file(content: bytes, most_frames: int = MOST_FRAMES) -> dict:
+    """What an episode file holds; :class:`BrokenEpisodeError` says why it is none. One sound source is enough."""
+    try:
+        file = pq.ParquetFile(io.BytesIO(content))
+        meta = file.schema_arrow.metadata or {}
+        if file.metadata.num_rows > most_frames:
+            raise BrokenEpisodeError(f"more than {most_frames} frames")
+        table = file.read()
+    except (pa.ArrowException, OSError) as e:
+        raise BrokenEpisodeError(f"cannot be read: {str(e).splitlines()[0]}") from None
+    sources = {}
+    for name in ("action", "state"):
+        try:
+            frames, base = _source(table, name)
+            sources[name] = {"valid": True, "error": None, "frames": frames, "base_abs_max": base}
+        except BrokenEpisodeError as e:
+            sources[name] = {"valid": False, "error": str(e), "frames": None, "base_abs_max": None}
+    aligned = any(f"{s}.vector" in table.select([s]).flatten().column_names for s in sources if s in table.column_names)
+    rate = _number(meta.get(b"fps" if aligned else b"control_frequency", meta.get(b"rate_hz")), 30.0, "rate")
+    if not 1 <= rate <= 500:
+        raise BrokenEpisodeError("rate out of range")
+    if not any(s["valid"] for s in sources.values()):
+        raise BrokenEpisodeError("; ".join(f"{k}: {s['error']}" for k, s in sources.items()))
+    frames, basis = table.num_rows, "nominal_rate"
+    duration = frames / rate
+    if not aligned and "t" in table.column_names:
+        stamps = table.column("t").cast(pa.float64()).to_numpy()
+        stamps = stamps / 1000 if len(stamps) and np.nanmax(np.abs(stamps)) > 1e11 else stamps
+        if not np.isfinite(stamps).all() or (np.diff(stamps) < 0).any():
+            raise BrokenEpisodeError("times are not finite or run backward")
+        duration, basis = float(stamps[-1] - stamps[0]), "timestamp"
+    return {"format": "aligned" if aligned else "episode", "frames": frames, "rate_hz": rate, "duration_s": duration, "basis": basis, "action_mode": meta.get(b"action_mode", b"unknown").decode(errors="replace"), "sources": sources}
+
+
+def scan_episodes(spark: SparkSession, path: str, most: int = MOST_FILES, glob: str = "*.{hdf5,h5,parquet}") -> DataFrame:
+    """One row per file below a folder, hidden folders left out: what it holds, or ``error`` and nulls if it is no episode. No file fails the job.
+
+    Files are Parquet: a row is a frame, with structs ``state`` and ``action`` of the five parts or of a ``vector``, and perhaps times ``t`` in seconds or
+    milliseconds; rate and action mode are in the file's metadata. Each of the two sources is judged on its own. A file is read whole by one task, if it has at most
+    MOST_BYTES. More than ``most`` files are an error, as a folder further down is meant then.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    names = sorted({_plain(unquote(f)) for f in files.inputFiles() if not re.search(r"/\.[^/]+/", f)})
+    if len(names) > most:
+        raise ValueError(f"more than {most} episode files below {path}")
+
+    def inspect_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing = dict.fromkeys(("format", "frames", "rate_hz", "duration_s", "basis", "action_mode", "sources"))
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    if content is None:
+                        raise BrokenEpisodeError(f"more than {MOST_BYTES} bytes")
+                    rows.append({"path": name, "error": None} | inspect_file(bytes(content)))
+                except BrokenEpisodeError as e:
+                    rows.append({"path": name, "error": str(e)} | nothing)
+            yield pd.DataFrame(rows).astype({"frames": "Int64"})
+
+    small = F.when(F.col("length") <= MOST_BYTES, F.col("content"))
+    held = files.filter(~F.col("path").rlike(r"/\.[^/]+/")).repartition(max(1, len(names)), "path").select("path", small.alias("content")).mapInPandas(inspect_all, SCANNED)
+    # files without a byte are listed but not read
+    listed = spark.createDataFrame([(n,) for n in names], "_name string")
+    met = listed.join(held.withColumn("_name", F.regexp_replace("path", SCHEME, "$1:/")), "_name", "left")
+    error = F.when(F.col("path").isNull(), "empty file").otherwise(F.col("error"))
+    return met.select(F.col("_name").alias("path"), error.alias("error"), *held.columns[2:])
+
+
+def scan_report(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The episodes of a scan, and ``path, error`` of what is none."""
+    return scanned.filter("error is null").drop("error"), scanned.filter("error is not null").select("path", "error")
+
+
 def frames_from_groups(rows: DataFrame, source: str) -> DataFrame:
     """One wire vector for each frame of ``source.arm, source.effector, ...``; null where a part has another width."""
     part = lambda p: F.col(f"{source}.{p}")

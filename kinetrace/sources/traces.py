@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetrace.functions.vectors import finite_or_null
+from kinetrace.functions.nested import finite_columns
 
 RUN_ID = r"^\d{8}_\d{6}_[a-f0-9]{8}$"
 VECTOR = T.ArrayType(T.DoubleType())
@@ -44,14 +44,8 @@ def valid_run_id(run: Column) -> Column:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Events as JSON lines in a folder for each run; numbers that are not finite become null, and nulls are written."""
-    clean = events
-    for f in events.schema:
-        if isinstance(f.dataType, T.DoubleType):
-            clean = clean.withColumn(f.name, finite_or_null(F.col(f.name)))
-        elif f.dataType == VECTOR:
-            clean = clean.withColumn(f.name, F.transform(f.name, finite_or_null))
-    clean.write.mode("append").option("ignoreNullFields", False).partitionBy("run_id").json(path)
+    """Events as JSON lines in a folder for each run; numbers that are not finite become null at any depth, and nulls are written."""
+    finite_columns(events).write.mode("append").option("ignoreNullFields", False).partitionBy("run_id").json(path)
 
 
 def write_wide(samples: DataFrame, path: str) -> None:

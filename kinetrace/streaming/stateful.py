@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinetrace.functions.text import PhraseBuffer
+from kinetrace.sources.audio import resampled_part
 
 
 def drop_adjacent_repeats(rows: DataFrame, key: str, seq: str, stamp: str) -> DataFrame:
@@ -105,3 +108,51 @@ def current_only(replies: DataFrame, key: str, seq: str, generation: str) -> Dat
         yield pd.DataFrame(out, columns=[key, seq, generation])
 
     return replies.select(key, seq, generation).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {seq} long, {generation} long", "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def resampled_stream(rows: DataFrame, key: str, seq: str, samples: str, rate: int, to: int) -> DataFrame:
+    """``key, start, pcm`` as blocks of a signal come in: 16-bit samples at the rate ``to``, and the place of the first of them.
+
+    The state is the number of samples so far and the last one of them; places are reckoned in whole numbers, so any cutting into blocks gives the samples of
+    one block. A null block ends a signal, and the next one of its key begins anew.
+    """
+    kind = dict(rows.dtypes)[key]
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, last = state.get if state.exists else (0, 0.0)
+        out = []
+        for row in pd.concat(parts).sort_values(seq).itertuples(index=False):
+            block = getattr(row, samples)
+            if block is None:
+                seen = 0
+            elif len(block):
+                own = np.concatenate([[last], block]) if seen else np.asarray(block)
+                first, seen, last = max(seen - 1, 0), seen + len(block), float(own[-1])
+                start, new = resampled_part(own, first, rate, to, seen)
+                if len(new):
+                    out.append((k[0], start, new.tobytes()))
+        state.update((seen, last))
+        yield pd.DataFrame(out, columns=[key, "start", "pcm"])
+
+    held = rows.select(key, seq, F.col(samples).cast("array<float>").alias(samples))
+    return held.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start long, pcm binary", "seen long, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def trailing_rates(rows: DataFrame, key: str, seq: str, t: str, span: float, most: int) -> DataFrame:
+    """``key, seq, rate`` of each arrival: arrivals per unit of ``t``, a double, among the last ``most`` that are at most ``span`` old; 0 for less than two or no time between."""
+    kind = dict(rows.dtypes)[key]
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ring = deque(state.get[0] if state.exists else (), maxlen=most)
+        out = []
+        for row in pd.concat(parts).sort_values(seq).itertuples(index=False):
+            now = float(getattr(row, t))
+            ring.append(now)
+            recent = [x for x in ring if now - x <= span]
+            time = recent[-1] - recent[0]
+            out.append((k[0], getattr(row, seq), (len(recent) - 1) / time if time > 0 else 0.0))
+        state.update((list(ring),))
+        yield pd.DataFrame(out, columns=[key, seq, "rate"])
+
+    held = rows.select(key, seq, F.col(t).cast("double").alias(t))
+    return held.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {seq} long, rate double", "ring array<double>", "append", GroupStateTimeout.NoTimeout)
