@@ -2,8 +2,9 @@
 
 Each permutation gives two signature values, its minimum and its maximum over a document's shingles, so ``BANDS * ROWS`` values
 cost half as many permutations. Documents that agree on a band share a bucket. A document is compared with one
-pseudo-random member of each of its buckets; what these comparisons leave unsettled is compared exactly within clusters,
-in blocks of bounded size. Pairs of a bucket are never listed.
+pseudo-random member of each of its buckets, the centre. Those that are alike enough to it form clusters, which are compared exactly, in blocks of
+bounded size. Those that are not stay open: they are dealt anew, under their bucket and one more band each, until no bucket holds two
+open ones, so a pair that lies among thousands of documents like neither of the two still meets. Pairs of a bucket are never listed.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.components import components
 from kinetrace.llm.words import chunks, mix, shingle_sets
-from kinetrace.llm.workspace import materialise, row_count, working_on
+from kinetrace.llm.workspace import materialise, release, row_count, working_on
 from kinetrace.session import table
 
 #: 32 bands of 5 values from 80 permutations: a pair at 0.85 misses all bands with probability 7e-9, one at 0.8 with 3e-6.
 BANDS, ROWS = 32, 5
 #: Bucket mates with a lower likeness to the bucket's centre don't hold a cluster together.
 CLUSTER_PERCENT = 50
+#: Further bands, each on its own, under which the open members of a bucket are dealt anew.
+MORE_BANDS = 3
 #: Documents of each side of a block of exact comparisons.
 BLOCK = 512
 #: Ids (8 bytes each) that are sent to all executors to pick texts; with more, the texts are shuffled to the ids.
@@ -65,7 +68,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document's set holds its distinct ``width``-word shingles (words between ASCII white space, A-Z lower-cased; a shorter text is one
     shingle; a null or blank text has none and is linked with nothing). Documents are linked when
     100 * intersection >= ``percent`` * union. ``component_id`` is the smallest id reachable over links, itself included.
-    Repeated rows share a set and so a component. A row with a null id takes part in no link; its component is that of an equal
+    Repeated rows share a set and so a component; rows that share an id only are different documents, each in the component of its own set. A row with a null id takes part in no link; its component is that of an equal
     set with an id, if any. Other columns are ignored; an empty table gives an empty result.
     """
     # pandas would turn integers beside a null into doubles, so ids pass through it as strings
@@ -85,27 +88,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     signed = rows_in.withColumn("_id", F.col("_id").cast("string")).mapInPandas(sign, "_id string, n long, digest binary, bands array<long>")
     signed = materialise(signed.withColumn("_id", F.col("_id").cast("long")), "minhash-signatures")
+    # a node is a set, whatever rows and ids have it; rid is the id by which its text is found
     reps = signed.filter("_id is not null and digest is not null").groupBy("digest", "n", "bands").agg(F.min("_id").alias("rid"))
+    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
 
-    # one pseudo-random centre per bucket: the member nearest to the key by exclusive or
-    dealt = reps.select("rid", F.explode("bands").alias("key")).repartition("key")
-    centres = dealt.groupBy("key").agg(F.min(F.col("rid").bitwiseXOR(F.col("key"))).alias("x"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    mates = dealt.join(centres, "key").select("rid", F.col("x").bitwiseXOR(F.col("key")).alias("centre")).filter("rid <> centre")
-    pairs = materialise(mates.select(F.least("rid", "centre").alias("a"), F.greatest("rid", "centre").alias("b")).distinct(), "minhash-pairs")
-    involved = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    def meet(dealt: DataFrame, level: int) -> DataFrame:
+        """Members of buckets of two or more with the bucket's centre: the member nearest to the key by exclusive or."""
+        centres = dealt.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("x"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        mates = dealt.join(centres, "key").select("node", "band", "key", F.col("x").bitwiseXOR(F.col("key")).alias("centre")).filter("node <> centre")
+        return materialise(mates.withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}).drop("centre"), f"minhash-mates-{level}")
+
+    mates = meet(reps.select("node", F.posexplode("bands").alias("band", "key")).repartition("key"), 0)
+    pairs = mates.select("a", "b").distinct()
+    involved = mates.select(F.col("a").alias("node")).union(mates.select("b")).distinct()
+    # later pairs are of these too
+    involved = materialise(reps.select("node", "rid", "digest").join(involved, "node", "left_semi"), "minhash-involved")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["rid"].tolist()
+            ids = batch["_id"].tolist()
             for first, raws in chunks(batch["_text"].tolist()):
                 sets = shingle_sets(raws, width)
                 yield pd.DataFrame({"rid": ids[first : first + len(sets)], "digest": [_digest(s) for s in sets], "members": [s.tobytes() for s in sets]})
 
-    involved = materialise(involved, "minhash-involved")
-    picked = F.broadcast(involved) if row_count(involved) <= SENT_IDS else involved
-    texts = rows_in.join(picked, rows_in["_id"] == picked["rid"]).select("rid", "_text")
+    ids = involved.select(F.col("rid").alias("_id"))
+    texts = rows_in.join(F.broadcast(ids) if row_count(ids) <= SENT_IDS else ids, "_id", "left_semi")
     sets = texts.mapInPandas(gather, "rid long, digest binary, members binary")
-    sets = materialise(sets.join(reps.select("rid", "digest"), ["rid", "digest"]).dropDuplicates(["rid"]).select("rid", "members"), "minhash-sets")
+    sets = materialise(sets.join(involved, ["rid", "digest"]).dropDuplicates(["node"]).select("node", "members"), "minhash-sets")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,23 +127,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found.append((a, b, shared, len(x) + len(y) - shared))
             yield pd.DataFrame(found, columns=["a", "b", "shared", "joint"])
 
-    sided = pairs.join(sets.select(F.col("rid").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("rid").alias("b"), F.col("members").alias("right")), "b")
-    checked = materialise(sided.select("a", "b", "left", "right").mapInPandas(confirm, "a long, b long, shared long, joint long"), "minhash-checked")
+    def check(pairs: DataFrame, level: int) -> DataFrame:
+        sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b")
+        return materialise(sided.select("a", "b", "left", "right").mapInPandas(confirm, "a long, b long, shared long, joint long"), f"minhash-checked-{level}")
+
+    # a document as like a centre as this has all its partners in the centre's cluster, by the triangle inequality
+    firm, level = min(100, min(CLUSTER_PERCENT, percent) + 100 - percent), 0
+    checked = check(pairs, level)
+    used = [sets, involved, checked]
+    while True:
+        loose = mates.join(checked.filter(F.col("shared") * 100 < F.col("joint") * firm).select("a", "b"), ["a", "b"]).select("node", "band", "key")
+        left = materialise(loose.join(loose.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"), f"minhash-open-{level}")
+        release(mates)
+        if left.isEmpty():
+            release(left)
+            break
+        level += 1
+        further = F.transform(F.sequence(F.lit(1), F.lit(MORE_BANDS)), lambda k: F.pmod(F.col("band") + k, F.lit(bands)))
+        deeper = left.join(reps.select("node", "bands"), "node").select("node", "key", "bands", F.explode(further).alias("band"))
+        mates = meet(deeper.select("node", "band", F.xxhash64("key", F.get("bands", F.col("band"))).alias("key")).repartition("key"), level)
+        release(left)
+        used.append(check(mates.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), level))
+        checked = checked.union(used[-1])
     linked = checked.filter(F.col("shared") * 100 >= F.col("joint") * percent).select("a", "b")
     label = components(linked)
 
     # clusters of documents that are alike but not yet joined
     cluster = components(checked.filter(F.col("shared") * 100 >= F.col("joint") * min(CLUSTER_PERCENT, percent)).select("a", "b"))
-    placed = cluster.select(F.col("id").alias("rid"), F.col("component").alias("cluster")).join(label.select(F.col("id").alias("rid"), F.col("component").alias("part")), "rid", "left")
-    placed = materialise(placed.withColumn("part", F.coalesce("part", "rid")), "minhash-clusters")
+    placed = cluster.select(F.col("id").alias("node"), F.col("component").alias("cluster")).join(label.select(F.col("id").alias("node"), F.col("component").alias("part")), "node", "left")
+    placed = materialise(placed.withColumn("part", F.coalesce("part", "node")), "minhash-clusters")
     parts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("size"))
     whole = parts.groupBy("cluster").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("n"), F.max("size").alias("largest")).filter("n_parts > 1")
-    open_ = placed.join(whole, "cluster").join(sets, "rid")
+    open_ = placed.join(whole, "cluster").join(sets, "node")
     side = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)))
     stray_blocks, member_blocks = side(F.col("n") - F.col("largest")), side(F.col("n"))
-    deal = lambda n: F.pmod(F.xxhash64("rid"), n)
-    strays = open_.filter("part <> main").select("cluster", deal(stray_blocks).alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), member_blocks - 1)).alias("mb"), F.lit(True).alias("stray"), "rid", "part", "members")
-    others = open_.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), stray_blocks - 1)).alias("sb"), deal(member_blocks).alias("mb"), F.lit(False).alias("stray"), "rid", "part", "members")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n)
+    strays = open_.filter("part <> main").select("cluster", deal(stray_blocks).alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), member_blocks - 1)).alias("mb"), F.lit(True).alias("stray"), "node", "part", "members")
+    others = open_.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), stray_blocks - 1)).alias("sb"), deal(member_blocks).alias("mb"), F.lit(False).alias("stray"), "node", "part", "members")
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         """Links between a block of strays and a block of members: at most one for each stray and part."""
@@ -147,21 +176,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         values = np.concatenate(held)
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
-        rids, own_parts, links = m["rid"].to_numpy(), m["part"].to_numpy(), []
-        for rid, part, packed in zip(s["rid"], s["part"], s["members"], strict=True):
+        nodes, own_parts, links = m["node"].to_numpy(), m["part"].to_numpy(), []
+        for node, part, packed in zip(s["node"], s["part"], s["members"], strict=True):
             x = np.frombuffer(packed, np.uint64)
             lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
             n = hi - lo
             at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             shared = np.bincount(owner[at], minlength=len(held))
             near = np.flatnonzero((shared * 100 >= (len(x) + sizes - shared) * percent) & (own_parts != part))
-            links += [(rid, rids[k]) for k in near[np.unique(own_parts[near], return_index=True)[1]]]
+            links += [(node, nodes[k]) for k in near[np.unique(own_parts[near], return_index=True)[1]]]
         return pd.DataFrame(links, columns=columns, dtype="int64")
 
     late = strays.union(others).groupBy("cluster", "sb", "mb").applyInPandas(settle, "a long, b long")
     # the parts found so far stand for their links
     final = components(label.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
-    rep_of = reps.join(final, reps["rid"] == final["id"], "left").select("digest", F.coalesce("component", "rid").alias("component"))
+    for done in (*used, placed):
+        release(done)
+    grouped = reps.join(final, reps["node"] == final["id"], "left").select("digest", "rid", F.coalesce("component", "node").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("rid").alias("component"))
+    rep_of = grouped.join(least, "group").select("digest", "component")
     out = signed.select("_id", "n", "digest").join(rep_of, "digest", "left")
     component = F.coalesce("component", "_id")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
