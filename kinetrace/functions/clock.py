@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Epoch values whose median is beyond this are milliseconds.
+MILLISECONDS = 1e11
+
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a zone-free timestamp column, whatever the session's zone."""
@@ -17,7 +20,7 @@ def seconds(ts: str) -> Column:
 
 def unit_divisor(median: Column) -> Column:
     """1000 for epoch milliseconds, else 1; subtract the origin before dividing by it."""
-    return F.when(median > 1e11, F.lit(1000.0)).otherwise(F.lit(1.0))
+    return F.when(median > MILLISECONDS, F.lit(1000.0)).otherwise(F.lit(1.0))
 
 
 def age_ms(now: Column, then: Column) -> Column:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinetrace.functions.clock import unit_divisor
-
+from kinetrace.functions.clock import MILLISECONDS, unit_divisor
 
 
 def control_rate(*candidates: Column, default: float = 30.0) -> Column:
@@ -17,10 +16,17 @@ def control_rate(*candidates: Column, default: float = 30.0) -> Column:
 
 
 def elapsed(rows: DataFrame, by: list[str], order: list[str], t: str) -> DataFrame:
-    """``elapsed`` seconds since the first row of each episode; milliseconds are told by the median."""
+    """``elapsed`` seconds since the first row of each episode; milliseconds are told by the median.
+
+    Only on which side of a bound the median lies counts, and that takes no more than the numbers of times on either side and the two times next to the bound.
+    """
     w = Window.partitionBy(*by)
-    first = F.first(F.col(t)).over(w.orderBy(*order))
-    return rows.withColumn("_median", F.median(t).over(w)).withColumn("elapsed", (F.col(t) - first) / unit_divisor(F.col("_median"))).drop("_median")
+    first, above = F.first(F.col(t)).over(w.orderBy(*order)), F.col(t) > MILLISECONDS
+    n, n_above = F.count(t).over(w), F.count_if(above).over(w)
+    middle = (F.max(F.when(~above, F.col(t))).over(w) + F.min(F.when(above, F.col(t))).over(w)) / 2
+    median = F.when(2 * n_above == n, middle).when(2 * n_above > n, F.lit(float("inf"))).otherwise(F.lit(0.0))
+    held = rows.withColumn("_median", median)
+    return held.withColumn("elapsed", (F.col(t) - first) / unit_divisor(F.col("_median"))).drop("_median")
 
 
 def diagnostics(rows: DataFrame, by: list[str], order: list[str], t: str, rate: float) -> DataFrame:

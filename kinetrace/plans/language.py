@@ -39,6 +39,18 @@ def segment_text(spark, sf_dir):
     return rows.select("doc_id", F.posexplode("p").alias("place", "phrase"))
 
 
+def segment_replies(spark, sf_dir):
+    """The phrases of what is said in conversations, in their order."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.phrases(F.coalesce("text", F.lit(""))).alias("p"))
+    return rows.select("conv_id", "turn", F.posexplode("p").alias("place", "phrase"))
+
+
+def speakable_documents(spark, sf_dir):
+    """Whole documents as they are read out, without a step outside the JVM."""
+    s = text.speakable(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(s).cast("long").alias("n"), F.md5(s).alias("digest"))
+
+
 def intents(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.motion_command(F.coalesce("text", F.lit(""))).alias("command"))
 
@@ -76,7 +88,7 @@ def payload_flattened(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    language_route, keyword_flags, text_speakable, text_corrections, plain_requests, segment_text, intents, transcripts, memory_trim, newest_of_role,
+    language_route, keyword_flags, text_speakable, text_corrections, plain_requests, segment_text, segment_replies, speakable_documents, intents, transcripts, memory_trim, newest_of_role,
     payload_numbers, payload_ranges, payload_flattened,
 )}
 
@@ -85,7 +97,33 @@ SPACES = r"[\s\x{3000}\x{00a0}\x{0085}]"
 HINTS = "[" + ", ".join("'" + h + "'" for h in text.HINTS) + "]"
 C = "c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, text FROM conversations)"
 PLAIN = f"trim(translate(regexp_replace(replace(lower(trim(t, chr(9) || chr(10) || chr(13) || ' ')), '{text.NAME}', ''), '{SPACES}+', ' ', 'g'), '{QUOTED}', ''))"
+BLANK = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _speakable_sql(x: str) -> str:
+    """``text.speakable`` without character references, of which the conversations have none."""
+    amount = r"(\d+(?:\.\d+)?)"
+    rules = [
+        (rf"(?s)```[\p{{L}}\p{{N}}_]*[{BLANK}]*(.*?)```", r"\1"), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"`([^`]+)`", r"\1"), (rf"(?i)https?://[^{BLANK}]+|www\.[^{BLANK}]+", "链接"),
+        (r"\b(20\d{2})[-/.](?:0(\d)|([1-9]\d?|0))[-/.](?:0(\d)|([1-9]\d?|0))\b", r"\1年\2\3月\4\5日"), (rf"[￥¥][{BLANK}]*{amount}", r"\1元"), (rf"\$[{BLANK}]*{amount}", r"\1美元"), (rf"{amount}[{BLANK}]*%", r"百分之\1"),
+    ]
+    for a, b in rules:
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    for a, b in [*text.UNITS.items(), *text.MARKS.items()]:
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"trim(regexp_replace({x}, '[{BLANK}]+', ' ', 'g'))"
+
+
+PHRASE_END = f"list_min(list_filter(range(1, least(81, len(rest) + 1)), lambda i: CASE WHEN contains('{text.HARD.strip()}', rest[i]) THEN i >= 15 WHEN contains('{text.SOFT}', rest[i]) THEN i >= 40 ELSE i >= 80 END))"
 ORACLES = {
+    "text_speakable": f"WITH {C}, s AS (SELECT conv_id, turn, {_speakable_sql('t')} AS s FROM c) SELECT conv_id, turn, length(s) AS n, md5(s) AS digest FROM s",
+    "speakable_documents": f"WITH s AS (SELECT doc_id, {_speakable_sql("coalesce(text, '')")} AS s FROM documents) SELECT doc_id, length(s) AS n, md5(s) AS digest FROM s",
+    "segment_replies": f"""WITH RECURSIVE {C}, s AS (SELECT conv_id, turn, {_speakable_sql('t')} AS rest FROM c), e AS (SELECT conv_id, turn, rest, {PHRASE_END} AS e, 0 AS k FROM s),
+r AS (SELECT conv_id, turn, rest, e, k FROM e UNION ALL SELECT conv_id, turn, n AS rest, {PHRASE_END.replace('rest', 'n')} AS e, k + 1 FROM (SELECT conv_id, turn, rest[e + 1:] AS n, k FROM r WHERE e IS NOT NULL)),
+p AS (SELECT conv_id, turn, k, e IS NULL AS last, trim(CASE WHEN e IS NULL THEN rest ELSE rest[1:e] END) AS p FROM r), q AS (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after, lead(last) OVER w AS then_last FROM p WINDOW w AS (PARTITION BY conv_id, turn ORDER BY k)),
+j AS (SELECT *, coalesce(last AND p <> '' AND length(p) < 15 AND length(before) + length(p) <= 80, false) AS gone, coalesce(then_last AND after <> '' AND length(after) < 15 AND length(p) + length(after) <= 80, false) AS grows FROM q),
+f AS (SELECT conv_id, turn, k, CASE WHEN grows THEN p || after ELSE p END AS phrase FROM j WHERE NOT gone)
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1)::INT AS place, phrase FROM f WHERE phrase <> ''""",
     "language_route": r"""WITH n AS (SELECT doc_id, lang, len(regexp_extract_all(coalesce(text, ''), '[\x{3400}-\x{9fff}]')) AS h, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS l FROM documents)
 SELECT doc_id, CASE WHEN h > 0 AND h >= greatest(1, l // 3) THEN 'zh' ELSE 'en' END AS route, CASE WHEN coalesce(lang, '') = '' OR split_part(replace(lower(trim(lang)), '_', '-'), '-', 1) = 'zh' THEN 'zh' WHEN split_part(replace(lower(trim(lang)), '_', '-'), '-', 1) = 'en' THEN 'en' END AS tag FROM n""",
     "keyword_flags": f"""WITH {C}, p AS (SELECT conv_id, turn, t, {PLAIN} AS p, list_distinct(list_transform(regexp_extract_all(t, '(?i)\\b(left|right)\\b'), lambda x: lower(x))) AS d FROM c)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kinetrace.functions import paths
+from kinetrace.functions import paths, vectors
 from kinetrace.functions.clock import micros
 from kinetrace.functions.nested import finite_tree
-from kinetrace.operators import cameras, health, policy, rewrite
+from kinetrace.operators import cameras, correlate, health, policy, rewrite
 from kinetrace.plans import dims
 from kinetrace.plans.frames import FRAMES, _frames
 from kinetrace.sources import audio
@@ -108,10 +108,29 @@ def task_plans(spark, sf_dir):
     return rows.select("event_id", F.col("p.mode").alias("mode"), F.col("p.hand").alias("hand"), F.col("p.prompt").alias("prompt"), F.col("p.right_prompt").alias("right_prompt"), fault.alias("fault"))
 
 
-QUERIES = {f.__name__: f for f in (finite_trees, contained_paths, policy_targets, gripper_gates, ring_rate, resampled_signal, table_corrections, camera_catalogue, task_plans)}
+def audio_attachments(spark, sf_dir):
+    """Sound that comes for a conversation goes to its newest reply that has none yet."""
+    rows = table(spark, sf_dir, "conversations")
+    sounds = rows.filter("conv_id % 5 <> 0").select("conv_id").distinct()
+    return correlate.attach_to_newest(rows, sounds, ["conv_id"], "turn", (F.col("role") == "assistant") & (F.col("turn") % 4 != 3)).select("conv_id", "turn")
+
+
+def chunk_parts(spark, sf_dir):
+    """Chunks of an episode's frames: the steps that are taken first, and what is left behind a cursor."""
+    frames = _frames(spark, sf_dir).withColumn("chunk", F.floor(F.col("vec_id") / 50))
+    chunks = frames.groupBy("label", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "action"))), lambda x: x["action"]).alias("actions"))
+    first, rest = vectors.prefix(F.col("actions"), (F.col("label") % 4 + 1).cast("int")), vectors.suffix(F.col("actions"), (F.col("chunk") % 7).cast("int"))
+    end = lambda a, k: F.get(F.try_element_at(a, F.lit(k)), F.lit(2))
+    return chunks.select("label", "chunk", F.size(first).alias("taken"), end(first, -1).alias("last_taken"), F.size(rest).alias("left_over"), end(rest, 1).alias("first_left"))
+
+
+QUERIES = {f.__name__: f for f in (audio_attachments, chunk_parts, finite_trees, contained_paths, policy_targets, gripper_gates, ring_rate, resampled_signal, table_corrections, camera_catalogue, task_plans)}
 
 _texts = lambda values: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 ORACLES = {
+    "audio_attachments": "SELECT conv_id, max(turn) FILTER (role = 'assistant' AND turn % 4 <> 3) AS turn FROM conversations WHERE conv_id % 5 <> 0 GROUP BY 1",
+    "chunk_parts": f"""WITH {FRAMES}, c AS (SELECT label, vec_id // 50 AS chunk, list(action[3] ORDER BY vec_id) AS a FROM f GROUP BY ALL)
+SELECT label, chunk, least(len(a), label % 4 + 1) AS taken, a[least(len(a), label % 4 + 1)] AS last_taken, greatest(0, len(a) - chunk % 7) AS left_over, CASE WHEN len(a) > chunk % 7 THEN a[chunk % 7 + 1] END AS first_left FROM c""",
     "finite_trees": """WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), f AS (SELECT vec_id, i, CASE WHEN (vec_id + i) % 13 <> 0 AND (vec_id + i) % 17 <> 0 THEN x END AS x FROM x)
 SELECT vec_id, count(x) AS axes, count(x) FILTER (i < 10) AS low, count(x) FILTER (i >= 10) AS high, round(sum(x), 6) AS total, CASE WHEN vec_id % 5 <> 0 THEN vec_id * 0.5::DOUBLE END AS peak FROM f GROUP BY vec_id""",
     "contained_paths": f"""WITH p AS (SELECT *, ({_texts(ASKED)})[event_id % {len(ASKED)} + 1] AS asked, ({_texts(LEADS)})[event_id % {len(ASKED)} + 1] AS path FROM events)

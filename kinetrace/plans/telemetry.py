@@ -90,8 +90,8 @@ def latest_by_key(spark, sf_dir):
 
 def freshness(spark, sf_dir):
     rows = health.latest(_events(spark, sf_dir), ["user_id"], ORDER)
-    now = _events(spark, sf_dir).agg(F.max("us")).first()[0] or 0  # one number
-    out = health.with_age(rows, F.col("us") / 1e6, F.lit(now) / 1e6, 3600.0)
+    now = _events(spark, sf_dir).agg(F.max("us")).scalar()
+    out = health.with_age(rows, F.col("us") / 1e6, now / 1e6, 3600.0)
     return out.select("user_id", F.round("age_ms", 1).alias("age_ms"), "fresh")
 
 

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetrace.functions import checks, paths, protocol, vectors
+from kinetrace.functions import checks, paths, protocol, text, vectors
 from kinetrace.functions.nested import finite_columns, finite_tree
-from kinetrace.operators import cameras, correlate, health, policy, rewrite
+from kinetrace.operators import cameras, correlate, health, policy, rewrite, timeline
 from kinetrace.plans import dims
 from kinetrace.sources import audio, episodes, traces
 from kinetrace.streaming import stateful
@@ -228,3 +228,17 @@ def test_small_rules_have_their_values(spark):
     actions = F.lit([[float(k)] for k in range(5)])
     assert value(spark, vectors.prefix(actions, 3)) == [[0.0], [1.0], [2.0]] and value(spark, vectors.prefix(actions, 9))[-1] == [4.0]
     assert [value(spark, vectors.suffix(actions, F.lit(k))) for k in (3, 5)] == [[[3.0], [4.0]], []]
+
+
+def test_the_unit_of_times_hangs_on_their_median(spark):
+    cases = {"odd": [0.0, 1e12, 2e12], "low": [0.0, 1.0, 2e12], "even": [9.9e10, 1.02e11], "even_low": [9.7e10, 1.02e11], "plain": [5.0, 6.5], "one": [3e12]}
+    rows = spark.createDataFrame([(k, n, t) for k, times in cases.items() for n, t in enumerate(times)], "ep string, n int, t double")
+    got = {(r.ep, r.n): r.elapsed for r in timeline.elapsed(rows, ["ep"], ["n"], "t").collect()}
+    for ep, times in cases.items():
+        unit = 1000.0 if np.median(times) > 1e11 else 1.0
+        assert [got[ep, k] for k in range(len(times))] == [(t - times[0]) / unit for t in times]
+
+
+def test_decimals_follow_the_step(spark):
+    for step, want in ((1.0, "1234.57"), (0.01, "1234.57"), (0.001, "1234.568"), (0.0001, "1234.5679"), (0.5, "1234.57"), (0.00001, "1234.5679")):
+        assert value(spark, text.decimals(F.lit(1234.56789), F.lit(step))) == want
