@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,13 +205,15 @@ def _candidates(lines: DataFrame, own: DataFrame, edits: int) -> DataFrame:
     """Pairs (_a, _b) of hashes of lines that may be within ``edits`` edits; own holds each line once."""
     wide = own.select(F.xxhash64("_line").alias("_id"), _wide(F.col("_line")).alias("_w")).withColumn("_n", (F.octet_length("_w") / 4).cast("int"))
     first = _places(edits, 0)
-    index = wide.select("_id", F.explode(_keys(F.col("_w"), F.col("_n"), edits, _own(edits))).alias("_key"))
+    # needed twice: kept in memory as far as there is room, and computed anew otherwise
+    index = wide.select("_id", F.explode(_keys(F.col("_w"), F.col("_n"), edits, _own(edits))).alias("_key")).persist(StorageLevel.MEMORY_ONLY)
     probe = wide.select("_id", F.posexplode(_keys(F.col("_w"), F.col("_n"), edits, first)).alias("_at", "_key")).select("_id", "_key", (F.col("_at") <= edits).alias("_same"))
     hot = materialise(_hot(index), "line-hot")
     cold = index.join(_sent(hot, 16), "_key", "left_anti").unionByName(hot.select(F.lit(None).cast("long").alias("_id"), "_key"))
     # lines that meet under cold keys, and in the same pass the lines that have hot ones
     met = cold.join(probe.withColumnRenamed("_id", "_id2"), "_key").filter(F.col("_id").isNull() | F.when(F.col("_same"), F.col("_id") < F.col("_id2")).otherwise(F.col("_id") != F.col("_id2")))
     met = materialise(met.select(F.when(F.col("_id").isNotNull(), F.least("_id", "_id2")).alias("_a"), F.greatest("_id", "_id2").alias("_b")).distinct(), "line-met")
+    index.unpersist()
     found = met.filter("_a is not null")
     if not row_count(hot):
         return found
