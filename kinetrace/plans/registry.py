@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetrace.plans import contracts, frames, language, records, rules, telemetry
+from kinetrace.plans import contracts, frames, language, records, rules, summaries, telemetry
 
-MODULES = (telemetry, frames, language, rules, contracts, records)
+MODULES = (telemetry, frames, language, rules, contracts, records, summaries)
 
 
 def queries() -> dict:

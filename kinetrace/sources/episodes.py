@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinetrace.functions import vectors
+from kinetrace.functions.typed_json import first_fault
 from kinetrace.operators import timeline
 from kinetrace.plans import dims
 
@@ -24,7 +25,8 @@ from kinetrace.plans import dims
 MOST_FILES, MOST_FOLDERS = 2000, 10_000
 #: Frames of an episode and bytes of its file at most; larger ones are reported as invalid.
 MOST_FRAMES, MOST_BYTES = 200_000, 1 << 30
-# Widths of the parts of a grouped frame.
+# Names of episode files, widths of the parts of a grouped frame.
+NAMES = ("episode.hdf5", "episode.h5", "aligned_joints.h5", "episode.parquet", "aligned_joints.parquet")
 WIDTHS = {"arm": 14, "effector": 2, "waist": 3, "head": 2, "base": 2}
 
 
@@ -42,9 +44,20 @@ def _report(rows: DataFrame, by: str, most: int) -> DataFrame:
 
 
 def dataset_folders(files: DataFrame, most: int = MOST_FOLDERS) -> DataFrame:
-    """``folder, truncated``: the distinct folders that hold episodes, the first ``most``; a ``states`` folder counts for the one above."""
+    """``folder, truncated``: the distinct folders that hold files named as episodes are, the first ``most``; a ``states`` folder counts for the one above."""
     folder = F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]+$", 1), r"/states$", "")
-    return _report(files.select(folder.alias("folder")).distinct(), "folder", most)
+    named = files.filter(F.lower(F.substring_index("path", "/", -1)).isin(*NAMES))
+    return _report(named.select(folder.alias("folder")).distinct(), "folder", most)
+
+
+def shape_fault(parts: dict[str, Column]) -> Column:
+    """Why matrices of parts, a row for each frame, are no source: a part that is missing or empty, of another width, or of another length than the first."""
+    first = F.size(next(iter(parts.values())))
+    rules = [(F.coalesce(F.size(v) == 0, F.lit(True)), f"{k}: no frames") for k, v in parts.items()]
+    wide = lambda rows, width: F.forall(rows, lambda r: F.coalesce(F.size(r) == width, F.lit(False)))
+    rules += [(~F.coalesce(wide(v, WIDTHS[k]), F.lit(False)), f"{k}: width") for k, v in parts.items()]
+    rules += [(F.size(v) != first, f"{k}: length") for k, v in parts.items()]
+    return first_fault(*rules)
 
 
 SCANNED = "path string, error string, format string, frames long, rate_hz double, duration_s double, basis string, action_mode string, sources map<string,struct<valid:boolean,error:string,frames:long,base_abs_max:double>>"

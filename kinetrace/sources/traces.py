@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetrace.functions.nested import finite_columns
+from kinetrace.functions.paths import contained
 
 RUN_ID = r"^\d{8}_\d{6}_[a-f0-9]{8}$"
 VECTOR = T.ArrayType(T.DoubleType())
@@ -43,6 +44,11 @@ def valid_run_id(run: Column) -> Column:
     return F.coalesce(run.rlike(RUN_ID), F.lit(False))
 
 
+def run_folder(root: Column, run: Column) -> Column:
+    """The folder of a run below ``root``, relative to it; null for what is no run id."""
+    return F.when(valid_run_id(run), contained(root, run))
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """Events as JSON lines in a folder for each run; numbers that are not finite become null at any depth, and nulls are written."""
     finite_columns(events).write.mode("append").option("ignoreNullFields", False).partitionBy("run_id").json(path)

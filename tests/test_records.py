@@ -168,17 +168,31 @@ def test_a_scan_turns_broken_files_into_rows(spark, tmp_path):
         episodes.scan_episodes(spark, str(tmp_path), most=3)
 
 
-def test_listings_say_that_they_are_cut(spark, tmp_path):
-    for name in ("x/1.h5", "x/states/2.h5", "y/3.hdf5", ".z/4.h5"):
+def test_listings_say_that_they_are_cut_and_folders_hold_named_files(spark, tmp_path):
+    for name in ("x/episode.h5", "x/states/aligned_joints.h5", "y/episode.hdf5", ".z/episode.h5", "w/other.h5"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"1")
     files = episodes.list_files(spark, str(tmp_path))
-    assert [(r.path.rsplit("/", 1)[1], r.truncated) for r in files.collect()] == [("1.h5", False), ("2.h5", False), ("3.hdf5", False)]
+    assert [(r.path.rsplit("/", 1)[1], r.truncated) for r in files.collect()] == [("other.h5", False), ("episode.h5", False), ("aligned_joints.h5", False), ("episode.hdf5", False)]
     assert [r.truncated for r in episodes.list_files(spark, str(tmp_path), most=2).collect()] == [True, True]
     assert [(r.folder.rsplit("/", 1)[1], r.truncated) for r in episodes.dataset_folders(files).collect()] == [("x", False), ("y", False)]
     assert [r.truncated for r in episodes.dataset_folders(files, 1).collect()] == [True]
 
 
+def test_parts_of_a_source_are_as_wide_and_as_long_as_they_must(spark):
+    def fault(**changed):
+        parts = {k: [[0.5] * w] * 3 for k, w in episodes.WIDTHS.items()} | changed
+        rows = spark.createDataFrame([tuple(parts.values())], ", ".join(f"{k} array<array<double>>" for k in parts))
+        return rows.select(episodes.shape_fault({k: F.col(k) for k in parts}).alias("f")).first().f
+
+    assert [fault(), fault(head=None), fault(arm=[]), fault(waist=[[0.0] * 3, [0.0] * 2, [0.0] * 3]), fault(waist=[[0.0] * 3, None, [0.0] * 3]), fault(base=[[0.0] * 2] * 4)] == [None, "head: no frames", "arm: no frames", "waist: width", "waist: width", "base: length"]
+
+
+def test_runs_have_folders_of_their_own(spark):
+    folder = lambda run: value(spark, traces.run_folder(F.lit("/runs"), F.lit(run).cast("string")))
+    assert [folder("20260831_120000_0a1b2c3d"), folder("../20260831_120000_0a1b2c3d"), folder("20260831_120000_0A1B2C3D"), folder(None)] == ["20260831_120000_0a1b2c3d", None, None, None]
+
+
 def test_episodes_are_described_and_counted(spark):
     rows = spark.createDataFrame([("e", k * 0.5, [0.0] * 21 + [0.0, -0.25 * k]) for k in range(3)] + [("f", 0.0, [0.0] * 23)], "ep string, t double, v array<double>")
     timed = {r.ep: r for r in episodes.inspect(rows, ["ep"], "v", "t").collect()}
