@@ -115,15 +115,31 @@ def _speakable_sql(x: str) -> str:
 
 
 PHRASE_END = f"list_min(list_filter(range(1, least(81, len(rest) + 1)), lambda i: CASE WHEN contains('{text.HARD.strip()}', rest[i]) THEN i >= 15 WHEN contains('{text.SOFT}', rest[i]) THEN i >= 40 ELSE i >= 80 END))"
+_list = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+_any = lambda x, words: f"len(list_filter({_list(words)}, lambda w: contains({x}, w))) > 0"
+
+
+def _phrases_sql(keys: str, texts: str) -> str:
+    """``text.phrases`` of the rows (keys, rest) of a query."""
+    over = f"OVER (PARTITION BY {keys} ORDER BY k)"
+    return f"""s AS ({texts}), e AS (SELECT {keys}, rest, {PHRASE_END} AS e, 0 AS k FROM s),
+r AS (SELECT {keys}, rest, e, k FROM e UNION ALL SELECT {keys}, n AS rest, {PHRASE_END.replace('rest', 'n')} AS e, k + 1 FROM (SELECT {keys}, rest[e + 1:] AS n, k FROM r WHERE e IS NOT NULL)),
+p AS (SELECT {keys}, k, e IS NULL AS last, trim(CASE WHEN e IS NULL THEN rest ELSE rest[1:e] END) AS p FROM r), q AS (SELECT *, lag(p) {over} AS before, lead(p) {over} AS after, lead(last) {over} AS then_last FROM p),
+j AS (SELECT *, coalesce(last AND p <> '' AND length(p) < 15 AND length(before) + length(p) <= 80, false) AS gone, coalesce(then_last AND after <> '' AND length(after) < 15 AND length(p) + length(after) <= 80, false) AS grows FROM q),
+f AS (SELECT {keys}, k, CASE WHEN grows THEN p || after ELSE p END AS phrase FROM j WHERE NOT gone)
+SELECT {keys}, (row_number() {over} - 1)::INT AS place, phrase FROM f WHERE phrase <> ''"""
+
+
 ORACLES = {
     "text_speakable": f"WITH {C}, s AS (SELECT conv_id, turn, {_speakable_sql('t')} AS s FROM c) SELECT conv_id, turn, length(s) AS n, md5(s) AS digest FROM s",
     "speakable_documents": f"WITH s AS (SELECT doc_id, {_speakable_sql("coalesce(text, '')")} AS s FROM documents) SELECT doc_id, length(s) AS n, md5(s) AS digest FROM s",
-    "segment_replies": f"""WITH RECURSIVE {C}, s AS (SELECT conv_id, turn, {_speakable_sql('t')} AS rest FROM c), e AS (SELECT conv_id, turn, rest, {PHRASE_END} AS e, 0 AS k FROM s),
-r AS (SELECT conv_id, turn, rest, e, k FROM e UNION ALL SELECT conv_id, turn, n AS rest, {PHRASE_END.replace('rest', 'n')} AS e, k + 1 FROM (SELECT conv_id, turn, rest[e + 1:] AS n, k FROM r WHERE e IS NOT NULL)),
-p AS (SELECT conv_id, turn, k, e IS NULL AS last, trim(CASE WHEN e IS NULL THEN rest ELSE rest[1:e] END) AS p FROM r), q AS (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after, lead(last) OVER w AS then_last FROM p WINDOW w AS (PARTITION BY conv_id, turn ORDER BY k)),
-j AS (SELECT *, coalesce(last AND p <> '' AND length(p) < 15 AND length(before) + length(p) <= 80, false) AS gone, coalesce(then_last AND after <> '' AND length(after) < 15 AND length(p) + length(after) <= 80, false) AS grows FROM q),
-f AS (SELECT conv_id, turn, k, CASE WHEN grows THEN p || after ELSE p END AS phrase FROM j WHERE NOT gone)
-SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1)::INT AS place, phrase FROM f WHERE phrase <> ''""",
+    "segment_replies": f"WITH RECURSIVE {C}, " + _phrases_sql("conv_id, turn", f"SELECT conv_id, turn, {_speakable_sql('t')} AS rest FROM c"),
+    "segment_text": "WITH RECURSIVE " + _phrases_sql("doc_id", f"SELECT doc_id, {_speakable_sql("replace(coalesce(text, ''), '&amp;', '&')")} AS rest FROM documents"),
+    "intents": f"""WITH RECURSIVE {C}, a AS (SELECT conv_id, turn, {PLAIN} AS p FROM c), v AS (SELECT conv_id, turn, unnest([p, replace(p, ' ', '')]) AS v FROM a UNION
+  SELECT conv_id, turn, trim(n) FROM (SELECT conv_id, turn, unnest(list_concat(list_transform(list_filter({_list(text.POLITE_BEFORE)}, lambda w: starts_with(v, w)), lambda w: v[length(w) + 1:]),
+    list_transform(list_filter({_list(text.POLITE_AFTER)}, lambda w: ends_with(v, w)), lambda w: v[:length(v) - length(w)]))) AS n FROM v) WHERE trim(n) <> ''),
+l AS (SELECT conv_id, turn, list(DISTINCT v) AS vs FROM v GROUP BY 1, 2)
+SELECT conv_id, turn, CASE WHEN p = '' THEN NULL WHEN {_any("p", text.NEGATIONS)} AND {_any("p", text.HINTS)} THEN 'stop' {" ".join(f"WHEN list_has_any(vs, {_list(w)}) THEN '{k}'" for k, w in text.COMMANDS.items())} END AS command FROM a JOIN l USING (conv_id, turn)""",
     "language_route": r"""WITH n AS (SELECT doc_id, lang, len(regexp_extract_all(coalesce(text, ''), '[\x{3400}-\x{9fff}]')) AS h, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS l FROM documents)
 SELECT doc_id, CASE WHEN h > 0 AND h >= greatest(1, l // 3) THEN 'zh' ELSE 'en' END AS route, CASE WHEN coalesce(lang, '') = '' OR split_part(replace(lower(trim(lang)), '_', '-'), '-', 1) = 'zh' THEN 'zh' WHEN split_part(replace(lower(trim(lang)), '_', '-'), '-', 1) = 'en' THEN 'en' END AS tag FROM n""",
     "keyword_flags": f"""WITH {C}, p AS (SELECT conv_id, turn, t, {PLAIN} AS p, list_distinct(list_transform(regexp_extract_all(t, '(?i)\\b(left|right)\\b'), lambda x: lower(x))) AS d FROM c)
