@@ -181,15 +181,15 @@ def _settings_fault(odd: Column, read: Column) -> Column:
 
 def _matrix_fault(rows: Column, n: Column, width: int) -> Column:
     """Whether a matrix is not ``n`` by ``width`` finite numbers; not-a-number is the largest of an array."""
-    flat = F.flatten(rows)
-    shape = (F.size(rows) == n) & F.forall(rows, lambda r: F.size(r) == width) & (F.size(F.array_compact(flat)) == n * width)
-    return ~F.coalesce(shape & (F.array_max(flat) < float("inf")) & (F.array_min(flat) > float("-inf")), F.lit(False))
+    shape = (F.size(rows) == n) & F.forall(rows, lambda r: F.size(r) == width)
+    full = lambda flat: (F.size(F.array_compact(flat)) == n * width) & (F.array_max(flat) < float("inf")) & (F.array_min(flat) > float("-inf"))
+    return ~F.coalesce(shape & j.bind(F.flatten(rows), full), F.lit(False))
 
 
 def _padding_fault(rows: Column, start: Column) -> Column:
     """Whether a matrix is not zero from an axis on."""
     behind = F.flatten(F.transform(rows, lambda r: F.slice(r, start + 1, F.greatest(F.size(r) - start, F.lit(0)))))
-    return F.coalesce((F.array_max(behind) != 0) | (F.array_min(behind) != 0), F.lit(False))
+    return F.coalesce(j.bind(behind, lambda b: (F.array_max(b) != 0) | (F.array_min(b) != 0)), F.lit(False))
 
 
 def request(session: Column, request_id: Column, episode: Column, phase: Column, s: Column, d: Column, chosen: Column, actions: Column, model: Column) -> Column:
@@ -249,9 +249,12 @@ def _answer(reply: Column, asked: Column, metadata: Column) -> Column:
     # a text of plain numbers is read several times as fast as a tree of variants; whatever else can be read as numbers takes the longer way
     chunk = j.at(reply, "actions_model")
     plain = F.from_json(F.to_json(chunk), "array<array<double>>")
-    read = j.bind(plain, lambda m: F.when(~_matrix_fault(m, F.lit(HORIZON), MODEL_WIDTH), m).otherwise(F.try_variant_get(chunk, "$", "array<array<double>>")))
+    told = lambda m, broken: F.struct(m.alias("model"), broken.alias("broken"))
+    unsound = lambda m: _matrix_fault(m, F.lit(HORIZON), MODEL_WIDTH)
+    longer = j.bind(F.try_variant_get(chunk, "$", "array<array<double>>"), lambda m: told(m, unsound(m)))
+    read = j.bind(plain, lambda m: F.when(~unsound(m), told(m, F.lit(False))).otherwise(longer))
     padding = F.try_variant_get(j.at(metadata, "rtc_padding_start"), "$", "int")
-    fault = lambda model: j.first_fault(
+    fault = lambda model, broken: j.first_fault(
         (F.coalesce(j.string(j.at(reply, "type")) != "action_chunk", F.lit(True)), "type"),
         (~same("session_id"), "session_id"),
         (~same("request_id"), "request_id"),
@@ -261,10 +264,10 @@ def _answer(reply: Column, asked: Column, metadata: Column) -> Column:
         (~j.is_kind(j.at(inner, "guided"), "boolean"), "guided: no boolean"),
         (j.flag(j.at(inner, "guided")) != guided, "branch"),
         (space.isNotNull() & ~F.coalesce(j.string(space) == j.string(j.at(metadata, "rtc_action_space_id")), F.lit(False)), "action space"),
-        (_matrix_fault(model, F.lit(HORIZON), MODEL_WIDTH), "chunk"),
+        (broken, "chunk"),
         (_padding_fault(model, padding), "padding"),
     )
-    return j.bind(read, lambda model: _result(fault(model), model=model))
+    return j.bind(read, lambda r: _result(fault(r["model"], r["broken"]), model=r["model"]))
 
 
 def check_replies(requests: DataFrame, replies: DataFrame, on: list[str], asked: str = "envelope", reply: str = "reply", metadata: str = "metadata") -> DataFrame:
@@ -273,7 +276,8 @@ def check_replies(requests: DataFrame, replies: DataFrame, on: list[str], asked:
     ``on`` is the slot of a connection, of which a server answers one request at a time; a request without a reply has the error ``no reply``, and a
     reply that is no JSON ``type``. Payloads are texts; a slot with several replies gives a row for each.
     """
-    found = requests.join(replies, on, "left")
+    # texts are far larger than what Spark takes them for, so they are never broadcast
+    found = requests.join(replies.hint("merge"), on, "left")
     checked = found.withColumn("_found", reply_fault(j.parsed(F.col(reply)), j.parsed(F.col(asked)), j.parsed(F.col(metadata))))
     error = F.when(F.col(reply).isNull(), "no reply").otherwise(F.col("_found.error"))
     return checked.select(*requests.columns, *[c for c in replies.columns if c not in on], error.alias("error"), F.when(error.isNull(), F.col("_found.model")).alias("model"))

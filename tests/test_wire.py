@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import typed_json as j
 from kinetrace.functions import wire
+from kinetrace.plans import contracts
 
 
 def checked(spark, column, *payloads):
@@ -195,3 +196,9 @@ def test_replies_meet_their_request_in_a_slot(spark):
     replies = spark.createDataFrame([(1, text(REPLY)), (1, text(REPLY | {"session_id": "late"})), (2, "no json"), (9, text(REPLY))], "slot int, reply string")
     got = wire.check_replies(requests, replies, ["slot"]).select("slot", "error", F.size("model").alias("n")).collect()
     assert sorted((r.slot, r.error or "", r.n) for r in got) == [(1, "", 50), (1, "session_id", None), (2, "type", None), (3, "no reply", None)]
+
+
+def test_texts_of_replies_are_not_broadcast(spark):
+    """The table that they are made from is small, and the texts are not."""
+    held = contracts.reply_contract(spark, "/root/testdata/sf0.001")
+    assert "BroadcastExchange" not in held._jdf.queryExecution().executedPlan().toString()
