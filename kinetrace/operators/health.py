@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,18 +43,39 @@ def trailing_rate(rows: DataFrame, by: list[str], t: str, span: int, most: int |
     """``rate``: arrivals per unit of ``t`` in the span that ends at each row, (n - 1) / (last - first); 0 for less than two or no time between.
 
     With ``most``, only the last so many arrivals are remembered, as in a ring: those up to the row itself, in ``order``, rows of equal ``t`` one after another.
+
+    Time is cut into slots that are no longer than the span, so a row counts all rows of its own slot before it, and those of the slots that the span reaches
+    back to as far as they are not too old. Rows go to their slot and to the later ones that they may count in; frames only grow, so work is that of sorting,
+    however many rows a span holds, and slots are worked on apart from one another.
     """
-    w = Window.partitionBy(*by).orderBy(t).rangeBetween(-span, 0)
-    if most is None:
-        n, first, last = F.count(F.lit(1)).over(w), F.min(t).over(w), F.max(t).over(w)
-        return rows.withColumn("rate", F.when((n < 2) | (last <= first), F.lit(0.0)).otherwise((n - 1) / (last - first)))
-    arrivals = Window.partitionBy(*by).orderBy(t, *(order or []))
-    placed = rows.withColumn("_place", F.row_number().over(arrivals)).withColumn("_ring", F.min(t).over(arrivals.rowsBetween(1 - most, 0)))
-    # the first arrival that is both in the span and in the ring
-    first_place = F.greatest(F.min("_place").over(w), F.col("_place") - (most - 1))
-    held = placed.withColumn("_n", F.col("_place") - first_place + 1).withColumn("_first", F.greatest(F.min(t).over(w), F.col("_ring")))
-    rate = F.when((F.col("_n") < 2) | (F.col(t) <= F.col("_first")), F.lit(0.0)).otherwise((F.col("_n") - 1) / (F.col(t) - F.col("_first")))
-    return held.withColumn("rate", rate).drop("_place", "_ring", "_n", "_first")
+    if span <= 0:
+        return rows.withColumn("rate", F.lit(0.0))
+    now = F.col(t)
+    if dict(rows.dtypes)[t] in ("tinyint", "smallint", "int", "bigint"):
+        slots = [now - F.pmod(now, F.lit(span)) + k * span for k in range(2)]
+    else:
+        # dividing by a power of two is exact
+        slots = [F.floor(F.when(F.abs(now) < float("inf"), now) / F.lit(2.0 ** math.floor(math.log2(span)))) + k for k in range(3)]
+    whole = F.struct(*rows.columns)
+    copies = F.array(*[F.struct(s.alias("slot"), (whole if k == 0 else F.lit(None)).alias("row")) for k, s in enumerate(slots)])
+    keys = list(dict.fromkeys([*by, t, *(order or [])]))
+    dealt = rows.select(*keys, F.explode(copies).alias("_c")).select(*keys, F.col("_c.slot").alias("_slot"), F.col("_c.row").alias("_row"))
+    past = F.col("_row").isNull()
+    dealt = dealt.filter(~past | F.col("_slot").isNotNull())
+    slot = Window.partitionBy(*by, "_slot")
+    # from the newest row back: a past row comes before the rows whose span holds it
+    back = slot.orderBy(F.when(past, now).otherwise(now - span).desc(), past.desc())
+    waiting, oldest = F.count_if(past).over(back), F.min(F.when(past, now)).over(back)
+    ahead = slot.orderBy(t) if most is None else slot.orderBy(t, *(order or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = dealt.withColumn("_n", F.count_if(~past).over(ahead)).withColumn("_first", F.min(F.when(~past, now)).over(ahead))
+    if most is not None:
+        held = held.withColumn("_ring", F.lag(t, most - 1).over(slot.orderBy(t, *(order or []))))
+    held = held.withColumn("_n", F.col("_n") + waiting).withColumn("_first", F.coalesce(oldest, "_first")).filter(~past)
+    n, first = F.col("_n"), F.col("_first")
+    if most is not None:
+        n, first = F.least(n, F.lit(most)), F.greatest(first, "_ring")
+    rate = F.when((n < 2) | (now <= first), F.lit(0.0)).otherwise((n - 1) / (now - first))
+    return held.select(*[F.col("_row")[c].alias(c) for c in rows.columns], rate.alias("rate"))
 
 
 def silent_gaps(rows: DataFrame, by: list[str], order: list[str], t: str, limit: float) -> DataFrame:
