@@ -34,9 +34,14 @@ def plain_requests(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(s).alias("digest"))
 
 
+def _places(rows, *keys):
+    """A row for each phrase of ``p``; an inner explode would compute it again to filter rows that have none."""
+    return rows.select(*keys, F.posexplode_outer("p").alias("place", "phrase")).filter(F.col("phrase").isNotNull())
+
+
 def segment_text(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", text.phrases(F.coalesce("text", F.lit(""))).alias("p"))
-    return rows.select("doc_id", F.posexplode("p").alias("place", "phrase"))
+    return _places(rows, "doc_id")
 
 
 def segment_replies(spark, sf_dir):
