@@ -47,7 +47,7 @@ def segment_text(spark, sf_dir):
 def segment_replies(spark, sf_dir):
     """The phrases of what is said in conversations, in their order."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.phrases(F.coalesce("text", F.lit(""))).alias("p"))
-    return rows.select("conv_id", "turn", F.posexplode("p").alias("place", "phrase"))
+    return _places(rows, "conv_id", "turn")
 
 
 def speakable_documents(spark, sf_dir):
