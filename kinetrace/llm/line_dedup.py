@@ -9,6 +9,7 @@ the line. What meets is verified with a banded bit-parallel edit distance.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -20,12 +21,12 @@ from kinetrace.session import table
 
 #: Edits allowed between lines of one class; shorter lines are always kept.
 EDITS, MIN_CHARS = 2, 20
-#: Letters whose counts are compared before lines are; an edit changes at most two of them by one.
-COUNTED = "entairos"
+#: Letters whose counts are compared before lines are, two bits each; an edit changes at most two of them by one.
+COUNTED = "abcdefghijklmnopqrstuvwxyz ,.-01"
 #: Bytes that are sent to all executors; with more, both sides are shuffled.
 SENT_BYTES = 48 << 20
-#: Lines of one length with one segment from which on they meet under more of the line only, and how often that is split again.
-HOT_LINES, LEVELS = 24, 4
+#: Lines of one length with one segment from which on they meet under more of the line only; twice as many each time that is split again.
+HOT_LINES = 24
 
 
 def _sent(df: DataFrame, size: Column | int) -> DataFrame:
@@ -60,29 +61,38 @@ def _places(edits: int, least: int) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0] != 0 or x[2] != 0, x))
 
 
-def _keys(wide: Column, n: Column, edits: int, places: list[tuple[int, int, int]]) -> Column:
-    out = []
-    for shorter, i, shift in places:
-        start, size = _segment(n - shorter, i, edits + 1)
-        out.append(F.xxhash64(n - shorter, F.lit(i), _cut(wide, start + shift, size)))
-    return F.array(*out)
+def _at_places(rows: DataFrame, edits: int, places: list[tuple[int, int, int]]) -> DataFrame:
+    """Rows with _w once for each of the places: _p is the place, _at the first character of its segment and _size how many it has.
+
+    The places are rows and not as many expressions: those together make a method so long that the JVM only interprets it.
+    """
+    told = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(place, "hik", strict=True)]) for place in places])
+    rows = rows.withColumn("_n", (F.octet_length("_w") / 4).cast("int"))
+    rows = rows.select(*rows.columns, F.explode(told).alias("_p"))
+    start, size = _segment(F.col("_n") - F.col("_p.h"), F.col("_p.i"), edits + 1)
+    return rows.select(*rows.columns, (start + F.col("_p.k")).alias("_at"), size.alias("_size"))
+
+
+def _key(*group: str) -> Column:
+    return F.xxhash64(*group, F.col("_n") - F.col("_p.h"), F.col("_p.i"), _cut(F.col("_w"), F.col("_at"), F.col("_size"))).alias("_key")
+
+
+def _is_own() -> Column:
+    return ((F.col("_p.h") == 0) & (F.col("_p.k") == 0)).alias("_same")
 
 
 def _level(rows: DataFrame, edits: int, places: list[tuple[int, int, int]], is_index: bool) -> DataFrame:
-    """(_id, _index, _same, _key, _rest, _left) for each of the places of rows (_id, _w) or (_id, _w, _group).
+    """(_id, _c, _index, _same, _key, _rest, _left) for each of the places of rows (_id, _c, _w) or (_id, _c, _w, _group).
 
     _rest is what is left of a line beside the segment, what follows it or else what is before the last one, and _left the edits that are left for that.
     """
-    told = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(place, "hik", strict=True)]) for place in places])
     group = ["_group"] if "_group" in rows.columns else []
-    rows = rows.withColumn("_n", (F.octet_length("_w") / 4).cast("int")).select("_id", "_w", "_n", *group, F.explode(told).alias("_p"))
-    n, i = F.col("_n"), F.col("_p.i")
-    start, size = _segment(n - F.col("_p.h"), i, edits + 1)
-    rows = rows.select("_id", "_w", "_n", "_p", *group, (start + F.col("_p.k")).alias("_at"), size.alias("_size"))
-    last, at, size = i == edits, F.col("_at"), F.col("_size")
-    same = (F.col("_p.h") == 0) & (F.col("_p.k") == 0) if not group else F.lit(False)
+    rows = _at_places(rows.select("_id", "_c", "_w", *group), edits, places)
+    i, n, at, size = F.col("_p.i"), F.col("_n"), F.col("_at"), F.col("_size")
+    last = i == edits
+    same = F.lit(False).alias("_same") if group else _is_own()
     rest = F.when(last, _cut(F.col("_w"), 0, at)).otherwise(_cut(F.col("_w"), at + size, n - at - size))
-    return rows.select("_id", F.lit(is_index).alias("_index"), same.alias("_same"), F.xxhash64(*group, n - F.col("_p.h"), i, _cut(F.col("_w"), at, size)).alias("_key"), rest.alias("_rest"), F.when(last, edits).otherwise(edits - i).alias("_left"))
+    return rows.select("_id", "_c", F.lit(is_index).alias("_index"), same, _key(*group), rest.alias("_rest"), F.when(last, edits).otherwise(edits - i).alias("_left"))
 
 
 def _own(edits: int) -> list[tuple[int, int, int]]:
@@ -95,16 +105,17 @@ def _once(value: Column, body) -> Column:
 
 
 def letter_counts(line: Column, n: Column) -> Column:
-    """The counts of some letters, modulo 256, in 64 bits."""
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)), 8 * k) for k, c in enumerate(COUNTED)])
+    """The counts of some letters, modulo 4, in 64 bits; in Gray code, so that counts that differ by one differ in one bit."""
 
+    def gray(c: str) -> Column:
+        left = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+        return left.bitwiseXOR(F.shiftright(left, 1)).bitwiseAND(F.lit(1)).bitwiseOR(left.bitwiseAND(F.lit(2)))
+
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(gray(c), 2 * k) for k, c in enumerate(COUNTED)])
 
-def _counts_near(a: Column, b: Column, edits: int) -> Column:
-    def gap(k: int) -> Column:
-        d = F.pmod(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255)), F.lit(256))
-        return F.least(d, 256 - d)
 
-    return reduce(lambda x, y: x + y, [gap(k) for k in range(len(COUNTED))]) <= 2 * edits
+def _counts_near(a: Column, b: Column, edits: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * edits
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -189,26 +200,25 @@ def _texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return held.groupBy("_id", "_line").agg(F.min(F.struct("_d", "_t", "_p")).alias("_place"))
 
 
-def _meet(index: DataFrame, probe: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Pairs (_a, _b) of lines that meet under a key which is not hot."""
-    if hot is not None:
-        index, probe = (x.join(_sent(hot, 16), "_key", "left_anti") for x in (index, probe))
-    met = index.join(probe.withColumnRenamed("_id", "_id2"), "_key").filter(F.when(F.col("_same"), F.col("_id") < F.col("_id2")).otherwise(F.col("_id") != F.col("_id2")))
+def _meet(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
+    """Pairs (_a, _b) of lines (_id, _c) that meet under a key and have nearly the same letters."""
+    met = index.join(probe.withColumnsRenamed({"_id": "_id2", "_c": "_c2"}), "_key")
+    met = met.filter(F.when(F.col("_same"), F.col("_id") < F.col("_id2")).otherwise(F.col("_id") != F.col("_id2")) & _counts_near(F.col("_c"), F.col("_c2"), edits))
     return met.select(F.least("_id", "_id2").alias("_a"), F.greatest("_id", "_id2").alias("_b")).distinct()
 
 
-def _hot(index: DataFrame) -> DataFrame:
-    return index.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_LINES).select("_key")
+def _hot(index: DataFrame, lines: int) -> DataFrame:
+    return index.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > lines).select("_key")
 
 
 def _candidates(lines: DataFrame, own: DataFrame, edits: int) -> DataFrame:
     """Pairs (_a, _b) of hashes of lines that may be within ``edits`` edits; own holds each line once."""
-    wide = own.select(F.xxhash64("_line").alias("_id"), _wide(F.col("_line")).alias("_w")).withColumn("_n", (F.octet_length("_w") / 4).cast("int"))
+    wide = own.select(F.xxhash64("_line").alias("_id"), _wide(F.col("_line")).alias("_w"))
     first = _places(edits, 0)
     # needed twice: kept in memory as far as there is room, and computed anew otherwise
-    index = wide.select("_id", F.explode(_keys(F.col("_w"), F.col("_n"), edits, _own(edits))).alias("_key")).persist(StorageLevel.MEMORY_ONLY)
-    probe = wide.select("_id", F.posexplode(_keys(F.col("_w"), F.col("_n"), edits, first)).alias("_at", "_key")).select("_id", "_key", (F.col("_at") <= edits).alias("_same"))
-    hot = materialise(_hot(index), "line-hot")
+    index = _at_places(wide, edits, _own(edits)).select("_id", _key()).persist(StorageLevel.MEMORY_ONLY)
+    probe = _at_places(wide, edits, first).select("_id", _key(), _is_own())
+    hot = materialise(_hot(index, HOT_LINES), "line-hot")
     cold = index.join(_sent(hot, 16), "_key", "left_anti").unionByName(hot.select(F.lit(None).cast("long").alias("_id"), "_key"))
     # lines that meet under cold keys, and in the same pass the lines that have hot ones
     met = cold.join(probe.withColumnRenamed("_id", "_id2"), "_key").filter(F.col("_id").isNull() | F.when(F.col("_same"), F.col("_id") < F.col("_id2")).otherwise(F.col("_id") != F.col("_id2")))
@@ -220,28 +230,33 @@ def _candidates(lines: DataFrame, own: DataFrame, edits: int) -> DataFrame:
 
     # from here on rows carry what is left of their lines beside the hot segments
     met = met.filter("_a is null").select(F.col("_b").alias("_id"))
-    texts = materialise(_texts_of(lines, met).select("_id", _wide(F.col("_line")).alias("_w")), "line-met-texts")
+    texts = _texts_of(lines, met).select("_id", letter_counts(F.col("_line"), F.length("_line")).alias("_c"), _wide(F.col("_line")).alias("_w"))
+    texts = materialise(texts, "line-met-texts")
     rows = _level(texts, edits, _own(edits), True).union(_level(texts, edits, first, False))
-    for depth in range(LEVELS):
+    for depth in itertools.count(1):
         rows = materialise(rows.join(_sent(hot, 16), "_key", "left_semi"), f"line-rests-{depth}")
-        # the rests of a group are as long as one another but for the edits; short ones are paired
-        again = rows.groupBy("_key").agg(F.min(F.octet_length("_rest")).alias("_size"), F.max("_left").alias("_e")).filter(F.col("_size") >= 4 * 6 * (F.col("_e") + 1)).select("_key")
+        # the rests of a group are as long as one another but for the edits; those that cannot be split any more are paired
+        again = rows.groupBy("_key").agg(F.min(F.octet_length("_rest")).alias("_size"), F.max("_left").alias("_e")).filter(F.col("_size") >= 4 * (F.col("_e") + 1)).select("_key")
         again = materialise(again, f"line-split-{depth}")
         done = rows.join(_sent(again, 16), "_key", "left_anti")
-        found = found.union(materialise(_meet(done.filter("_index").select("_key", "_id"), done.filter("not _index").select("_key", "_id", "_same"), None), f"line-short-{depth}"))
+        found = found.union(materialise(_meet(done.filter("_index").select("_key", "_id", "_c"), done.filter("not _index").select("_key", "_id", "_c", "_same"), edits), f"line-short-{depth}"))
+        if not row_count(again):
+            release(rows)
+            break
         held = rows
-        rows = rows.join(_sent(again, 16), "_key", "left_semi").select("_id", "_index", "_left", F.col("_key").alias("_group"), F.col("_rest").alias("_w"))
+        rows = rows.join(_sent(again, 16), "_key", "left_semi").select("_id", "_c", "_index", "_left", F.col("_key").alias("_group"), F.col("_rest").alias("_w"))
         parts = []
         for e in range(1, edits + 1):
             some = rows.filter(F.col("_left") == e)
             parts += [_level(some.filter("_index"), e, _own(e), True), _level(some.filter("not _index"), e, _places(e, -e), False)]
-        before, rows = held, materialise(reduce(DataFrame.union, parts), f"line-keys-{depth}")
-        index, probe = rows.filter("_index").select("_key", "_id").distinct(), rows.filter("not _index").select("_key", "_id", F.lit(False).alias("_same")).distinct()
-        hot = materialise(_hot(index), f"line-hot-{depth}")
-        last = depth == LEVELS - 1 or not row_count(hot)
-        found = found.union(materialise(_meet(index, probe, None if last else hot), f"line-found-{depth}"))
-        release(before)
-        if last:
+        rows = materialise(reduce(DataFrame.union, parts), f"line-keys-{depth}")
+        release(held)
+        index, probe = rows.filter("_index").select("_key", "_id", "_c").distinct(), rows.filter("not _index").select("_key", "_id", "_c", F.lit(False).alias("_same")).distinct()
+        # splitting makes about twice as many rows with each level, and is worth that for groups that are larger still
+        hot = materialise(_hot(index, HOT_LINES << depth), f"line-hot-{depth}")
+        cold = [x.join(_sent(hot, 16), "_key", "left_anti") for x in (index, probe)]
+        found = found.union(materialise(_meet(*cold, edits), f"line-found-{depth}"))
+        if not row_count(hot):
             release(rows)
             break
     return materialise(found.distinct(), "line-pairs")

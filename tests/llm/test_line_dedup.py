@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -101,3 +102,23 @@ def test_repeated_null_and_no_rows(spark):
     got = dedup_lines(spark.createDataFrame([(1, line), (1, line), (None, line), (1, line + "s\nx")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, line), (1, ""), (1, ""), (1, "x")]
     assert dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_pairs_of_a_family_do_not_grow_with_its_square(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(5))
+    base, rows = [word() for _ in range(60)], []
+    for k in range(200):
+        words, at = base[:], rng.randrange(60)
+        words[at:at], _ = [word()], words.pop(rng.randrange(60))
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lines = line_dedup._lines(docs, "doc_id", "text")
+    assert line_dedup._candidates(lines, lines, 2).count() < 600  # of 19 900
+
+
+def test_keys_are_made_by_methods_that_the_jvm_compiles(spark, capsys):
+    wide = spark.range(3).select(F.col("id").alias("_id"), line_dedup._wide(F.repeat(F.lit("some line "), F.col("id").cast("int") + 3)).alias("_w"))
+    line_dedup._at_places(wide, 2, line_dedup._places(2, 0)).select("_id", line_dedup._key(), line_dedup._is_own()).explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # longer ones are only interpreted
