@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 def parsed(payload: Column) -> Column:
     """The value of a whole text as a variant."""
-    # within brackets nothing may follow the value but another one
-    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))), "$", "array<variant>")
+    # within brackets nothing may follow the value but another one; from_json keeps its parser's tables from row to row, and reads no more than JSON with these options
+    whole = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "array<variant>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"})
     return bind(whole, lambda held: F.when(F.size(held) == 1, F.get(held, F.lit(0))))
 
 
@@ -46,7 +46,16 @@ def kind(value: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(t) for pair in KINDS.items() for t in pair]), head), F.lit("missing"))
 
 
+# The kinds whose type has one name, which costs less to compare than a kind to find.
+PLAIN_KINDS = {"null": "VOID", "boolean": "BOOLEAN", "integer": "BIGINT", "string": "STRING"}
+
+
 def is_kind(value: Column, *kinds: str) -> Column:
+    """Whether ``kind(value)`` is one of some; false, not null, for what is missing."""
+    if len(kinds) == 1 and kinds[0] in PLAIN_KINDS:
+        return F.coalesce(F.schema_of_variant(value) == PLAIN_KINDS[kinds[0]], F.lit(False))
+    if kinds == ("object",):
+        return F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False))
     return kind(value).isin(*kinds)
 
 

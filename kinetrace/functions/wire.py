@@ -180,16 +180,17 @@ def _settings_fault(odd: Column, read: Column) -> Column:
 
 
 def _matrix_fault(rows: Column, n: Column, width: int) -> Column:
-    """Whether a matrix is not ``n`` by ``width`` finite numbers; not-a-number is the largest of an array."""
+    """Whether a matrix is not ``n`` by ``width`` finite numbers; not-a-number is the largest of an array, and an overlap is unknown where a null is."""
     shape = (F.size(rows) == n) & F.forall(rows, lambda r: F.size(r) == width)
-    full = lambda flat: (F.size(F.array_compact(flat)) == n * width) & (F.array_max(flat) < float("inf")) & (F.array_min(flat) > float("-inf"))
-    return ~F.coalesce(shape & j.bind(F.flatten(rows), full), F.lit(False))
+    flat = F.flatten(rows)
+    full = (F.array_max(flat) < float("inf")) & ~F.arrays_overlap(flat, F.array(F.lit(float("-inf"))))
+    return ~F.coalesce(shape & full, F.lit(False))
 
 
 def _padding_fault(rows: Column, start: Column) -> Column:
-    """Whether a matrix is not zero from an axis on."""
-    behind = F.flatten(F.transform(rows, lambda r: F.slice(r, start + 1, F.greatest(F.size(r) - start, F.lit(0)))))
-    return F.coalesce(j.bind(behind, lambda b: (F.array_max(b) != 0) | (F.array_min(b) != 0)), F.lit(False))
+    """Whether a matrix of numbers is not zero from an axis on."""
+    left = lambda r: F.greatest(F.size(r) - start, F.lit(0))
+    return F.coalesce(F.exists(rows, lambda r: F.slice(r, start + 1, left(r)) != F.array_repeat(F.lit(0.0), left(r))), F.lit(False))
 
 
 def request(session: Column, request_id: Column, episode: Column, phase: Column, s: Column, d: Column, chosen: Column, actions: Column, model: Column) -> Column:
@@ -234,27 +235,45 @@ def reply_fault(reply: Column, asked: Column, metadata: Column) -> Column:
     """``error, model``: whether a reply answers the request that it is held against, in the branch that was asked for, with a sound chunk.
 
     ``asked`` is the envelope of the request and ``metadata`` the server's, whose ``rtc_padding_start`` and ``rtc_action_space_id`` count. Ids have
-    the same type and value. The chunk is read as numbers wherever its leaves can be, as the server's own arrays are.
+    the same type and value. The chunk is read as numbers wherever its leaves can be, as the server's own arrays are; that of a reply that is wrong
+    before it is not looked at.
     """
-    return j.bind(F.struct(reply.alias("reply"), asked.alias("asked"), metadata.alias("metadata")), lambda g: _answer(g["reply"], g["asked"], g["metadata"]))
+    chunk = lambda g: F.struct(_numbers(j.at(g["reply"], "actions_model")).alias("model"), _padding_start(g["metadata"]).alias("start"))
+    read = lambda g: j.bind(chunk(g), lambda c: _result(_chunk_fault(c["model"], c["start"]), model=c["model"]))
+    told = lambda g, error: F.when(error.isNull(), read(g)).otherwise(_result(error, model=F.lit(None).cast(MATRIX)))
+    return j.bind(F.struct(reply.alias("reply"), asked.alias("asked"), metadata.alias("metadata")), lambda g: j.bind(_answer_fault(g["reply"], g["asked"], g["metadata"]), lambda e: told(g, e)))
 
 
-def _answer(reply: Column, asked: Column, metadata: Column) -> Column:
+MATRIX = "array<array<double>>"
+
+
+def _numbers(chunk: Column) -> Column:
+    """A chunk's leaves as numbers; a text of plain numbers is read several times as fast as a tree of variants."""
+    return j.bind(chunk, lambda c: F.coalesce(F.from_json(F.to_json(c), MATRIX), F.try_variant_get(c, "$", MATRIX)))
+
+
+def _row_numbers(rows: Column) -> Column:
+    """Rows of a chunk, given as texts, as numbers: a tree of variants is made only of a row with other leaves."""
+    return F.transform(rows, lambda r: F.coalesce(F.from_json(r, "array<double>"), F.try_variant_get(F.try_parse_json(r), "$", "array<double>")))
+
+
+def _chunk_fault(model: Column, start: Column) -> Column:
+    return j.first_fault((_matrix_fault(model, F.lit(HORIZON), MODEL_WIDTH), "chunk"), (_padding_fault(model, start), "padding"))
+
+
+def _padding_start(metadata: Column) -> Column:
+    return F.try_variant_get(j.at(metadata, "rtc_padding_start"), "$", "int")
+
+
+def _answer_fault(reply: Column, asked: Column, metadata: Column) -> Column:
+    """The first broken rule of a reply but for its chunk."""
     inner, theirs = j.at(reply, "rtc"), j.at(asked, "rtc")
     guided = j.at(theirs, "previous_actions").isNotNull() | j.at(theirs, "previous_chunk_model").isNotNull()
     same = lambda key: (j.kind(j.at(reply, key)) == j.kind(j.at(asked, key))) & F.try_variant_get(j.at(reply, key), "$", "string").eqNullSafe(F.try_variant_get(j.at(asked, key), "$", "string"))
     epoch = lambda key: F.coalesce(j.whole(j.at(reply, key)) == j.whole(j.at(theirs, key)), F.lit(False))
     origin = (j.string(j.at(inner, "action_time_origin")) == "request_observation") & j.flag(j.at(inner, "client_must_discard_elapsed_prefix"))
     space = j.at(inner, "rtc_action_space_id")
-    # a text of plain numbers is read several times as fast as a tree of variants; whatever else can be read as numbers takes the longer way
-    chunk = j.at(reply, "actions_model")
-    plain = F.from_json(F.to_json(chunk), "array<array<double>>")
-    told = lambda m, broken: F.struct(m.alias("model"), broken.alias("broken"))
-    unsound = lambda m: _matrix_fault(m, F.lit(HORIZON), MODEL_WIDTH)
-    longer = j.bind(F.try_variant_get(chunk, "$", "array<array<double>>"), lambda m: told(m, unsound(m)))
-    read = j.bind(plain, lambda m: F.when(~unsound(m), told(m, F.lit(False))).otherwise(longer))
-    padding = F.try_variant_get(j.at(metadata, "rtc_padding_start"), "$", "int")
-    fault = lambda model, broken: j.first_fault(
+    return j.first_fault(
         (F.coalesce(j.string(j.at(reply, "type")) != "action_chunk", F.lit(True)), "type"),
         (~same("session_id"), "session_id"),
         (~same("request_id"), "request_id"),
@@ -264,10 +283,38 @@ def _answer(reply: Column, asked: Column, metadata: Column) -> Column:
         (~j.is_kind(j.at(inner, "guided"), "boolean"), "guided: no boolean"),
         (j.flag(j.at(inner, "guided")) != guided, "branch"),
         (space.isNotNull() & ~F.coalesce(j.string(space) == j.string(j.at(metadata, "rtc_action_space_id")), F.lit(False)), "action space"),
-        (broken, "chunk"),
-        (_padding_fault(model, padding), "padding"),
     )
-    return j.bind(read, lambda r: _result(fault(r["model"], r["broken"]), model=r["model"]))
+
+
+# A chunk within the text of a reply: rows in brackets, whose leaves are anything but objects and texts with escapes. Brackets match, so nothing lies behind the value; the JSON reader
+# tells whether it is sound.
+_RUN = r"[-+.,0123456789truefalsnE \t\r\n]*"
+_ROW = rf'\[{_RUN}(?:(?:"[^"\\\x00-\x1f]*+"|\[{_RUN}\]){_RUN})*+\]'
+CHUNK = rf'"actions_model"\s*+:\s*+(\[\s*+{_ROW}(?:\s*+,\s*+{_ROW})*+\s*+\])'
+MARK, ESCAPED_MARK = "@@@@", "\\u0040"
+
+
+def _cut(rows: DataFrame, reply: str) -> DataFrame:
+    """``rows`` with the chunk of the text ``reply`` as ``_chunk`` and, as ``_cut.reply``, a variant of the text, without the chunk if ``_cut.apart``.
+
+    A mark takes the place of the chunk. If the mark is there once, in other letters neither, and is what the rest holds as its chunk, then the whole is
+    sound JSON just if the rest and the chunk are. Texts for which that cannot be told are parsed as a whole.
+    """
+    parts = lambda value, apart: F.struct(value.alias("reply"), F.lit(apart).alias("apart"))
+    once = (F.size(F.split("_rest", MARK)) == 2) & ~F.contains(F.col("_rest"), F.lit(ESCAPED_MARK))
+    held = lambda rest: F.coalesce(j.string(j.at(rest, "actions_model")) == MARK, F.lit(False))
+    cut = j.bind(F.when(once, j.parsed(F.col("_rest"))), lambda rest: F.when(held(rest), parts(rest, True)).otherwise(parts(j.parsed(F.col(reply)), False)))
+    found = rows.withColumn("_chunk", F.regexp_extract(reply, CHUNK, 1))
+    return found.withColumn("_rest", F.when(F.col("_chunk") != "", F.replace(F.col(reply), F.col("_chunk"), F.lit(f'"{MARK}"')))).withColumn("_cut", cut).drop("_rest")
+
+
+def _read(rows: DataFrame, right: Column) -> DataFrame:
+    """``_model``, the chunk of :func:`_cut` as numbers where the rest is ``right``, and ``_known``, whether it has turned out to be JSON."""
+    chunk, apart, plain, texts = F.col("_chunk"), F.col("_cut.apart"), F.col("_plain"), F.col("_texts")
+    found = rows.withColumn("_plain", F.when(apart & right, F.from_json(chunk, MATRIX)))
+    found = found.withColumn("_texts", F.when(apart & right & plain.isNull(), F.from_json(chunk, "array<string>")))
+    model = F.when(apart, F.coalesce(plain, _row_numbers(texts))).otherwise(_numbers(j.at(F.col("_cut.reply"), "actions_model")))
+    return found.withColumns({"_model": F.when(right, model), "_known": ~apart | plain.isNotNull() | texts.isNotNull()}).drop("_plain", "_texts")
 
 
 def check_replies(requests: DataFrame, replies: DataFrame, on: list[str], asked: str = "envelope", reply: str = "reply", metadata: str = "metadata") -> DataFrame:
@@ -276,8 +323,13 @@ def check_replies(requests: DataFrame, replies: DataFrame, on: list[str], asked:
     ``on`` is the slot of a connection, of which a server answers one request at a time; a request without a reply has the error ``no reply``, and a
     reply that is no JSON ``type``. Payloads are texts; a slot with several replies gives a row for each.
     """
-    # texts are far larger than what Spark takes them for, so they are never broadcast
-    found = requests.join(replies.hint("merge"), on, "left")
-    checked = found.withColumn("_found", reply_fault(j.parsed(F.col(reply)), j.parsed(F.col(asked)), j.parsed(F.col(metadata))))
-    error = F.when(F.col(reply).isNull(), "no reply").otherwise(F.col("_found.error"))
-    return checked.select(*requests.columns, *[c for c in replies.columns if c not in on], error.alias("error"), F.when(error.isNull(), F.col("_found.model")).alias("model"))
+    # texts are far larger than what Spark takes them for, so they are never broadcast, and pass by the requests of their partition without being sorted
+    found = requests.hint("shuffle_hash").join(replies, on, "left")
+    server = j.parsed(F.col(metadata))
+    answered = F.struct(F.col("_cut.reply").alias("reply"), j.parsed(F.col(asked)).alias("asked"), server.alias("metadata"))
+    told = _cut(found, reply).withColumn("_fault", F.when(F.col(reply).isNull(), "no reply").otherwise(j.bind(answered, lambda g: _answer_fault(g["reply"], g["asked"], g["metadata"]))))
+    read = _read(told.withColumn("_start", _padding_start(server)), F.col("_fault").isNull())
+    sound = F.col("_known") | F.json_array_length("_chunk").isNotNull()
+    fault = F.when(F.col("_fault").isin("no reply", "type"), F.col("_fault")).when(~sound, "type").when(F.col("_fault").isNotNull(), F.col("_fault"))
+    checked = read.withColumn("_error", F.coalesce(fault, _chunk_fault(F.col("_model"), F.col("_start"))))
+    return checked.select(*requests.columns, *[c for c in replies.columns if c not in on], F.col("_error").alias("error"), F.when(F.col("_error").isNull(), F.col("_model")).alias("model"))

@@ -202,3 +202,30 @@ def test_texts_of_replies_are_not_broadcast(spark):
     """The table that they are made from is small, and the texts are not."""
     held = contracts.reply_contract(spark, "/root/testdata/sf0.001")
     assert "BroadcastExchange" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_replies_are_not_sorted(spark):
+    """They pass by the requests of their partition: neither they nor what is read from them is sorted or kept."""
+    plan = contracts.reply_contract(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BuildLeft" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+
+
+def test_chunks_are_read_apart_from_their_replies(spark):
+    """No variant is made of a chunk whose leaves are no objects, and what is told of a reply is what is told of the whole text."""
+    good, old = json.dumps(REPLY), json.dumps(REPLY | {"session_id": "old"})
+    leaf = lambda text, to: text.replace("[[0.5,", f"[[{to},", 1)
+    inner = lambda value: good.replace('"guided"', f'"actions_model": {value}, "guided"')
+    cases = [(leaf(good, x), True, e) for x, e in (("0.5", None), ("-1e5", None), ("true", None), ('"1.5"', None), ('"true"', "chunk"), ("null", "chunk"), ('"x"', "chunk"), ("[1]", "chunk"), ("1e400", "chunk"))]
+    cases += [(leaf(good, x), True, "type") for x in ("01", "1.", "tru", "1 2", "[1,,2]", "1true", "")]
+    cases += [(leaf(old, x), True, e) for x, e in (("0.5", "session_id"), ("null", "session_id"), ('"x"', "session_id"), ("[1]", "session_id"), ("01", "type"), ("[1,,2]", "type"))]
+    cases += [(leaf(good, "{}"), False, "chunk"), (leaf(good, '{"a": 1, "a": 2}'), False, "type"), (leaf(good, r'"\u0031"'), False, None), (good.replace("[[", "", 1), False, "type"), (good.replace("], [", "] [", 1), False, "type")]
+    # the rest is parsed as ever: what lies behind, repeated keys, further chunks and texts like the mark
+    cases += [(good + " x", False, "type"), (good[:-1] + ', "type": "action_chunk"}', False, "type"), (good[:-1] + ', "actions_model": [[1]]}', False, "type"), (inner("[[1]]"), True, None), (inner("[[1, ]]"), False, "type")]
+    cases += [(good[:-1] + ', "m": "@@@@"}', False, None), (inner("[[1]]").replace(json.dumps(REPLY["actions_model"]), r'"\u0040@@@"'), False, "chunk"), (good.replace(json.dumps(REPLY["actions_model"]), '"@@@@"'), False, "chunk")]
+    rows = spark.createDataFrame([(k, t, json.dumps(ASKED), json.dumps(META)) for k, (t, *_) in enumerate(cases)], "slot int, reply string, envelope string, metadata string")
+    cut = wire._cut(rows, "reply").select("slot", "_cut.apart", F.length(F.to_json("_cut.reply")).alias("n")).orderBy("slot").collect()
+    assert [r.apart for r in cut] == [a for _, a, _ in cases] and max(r.n for r in cut if r.apart) < 400
+    whole = [r.found for r in rows.select("slot", wire.reply_fault(*[j.parsed(F.col(c)) for c in ("reply", "envelope", "metadata")]).alias("found")).orderBy("slot").collect()]
+    got = wire.check_replies(rows.drop("reply"), rows.select("slot", "reply"), ["slot"]).orderBy("slot").collect()
+    assert [r.error for r in got] == [e for *_, e in cases]
+    assert [(r.error, r.model) for r in got] == [(r.error, r.model) for r in whole]
